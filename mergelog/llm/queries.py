@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid, toxicity
 from .decontaminate import decontaminate
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -30,6 +32,21 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def fold(column: str, folds: int) -> Column:
+    """crc32 of the id as text, by folds."""
+    return F.crc32(F.col(column).cast("string")) % folds
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels, fold("_id", 5) != 0), fold("doc_id", 5) == 0)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs, fold("doc_id", 4) != 2), fold("doc_id", 4) == 2)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
     "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
     "op10_decontaminate": op10_decontaminate,
 }
 
