@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, toxicity
+from .chat import chat_digests, json_records
 from .decontaminate import decontaminate
+from .hnsw import nearest
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .rans import token_files
 from .secrets import scan_secrets
 from .staging import read_table
+from .substrings import remove_repeats
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +31,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = json_records(spark, [{"conv_id": -7, "messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]}])
+    return chat_digests(read_table(spark, sf_dir, "conversations"), more)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +60,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs, fold("doc_id", 4) != 2), fold("doc_id", 4) == 2)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -55,9 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
+    "op4_repeats": op4_repeats,
+    "op5_chat": op5_chat,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
+    "op9_nearest": op9_nearest,
     "op10_decontaminate": op10_decontaminate,
 }
 
