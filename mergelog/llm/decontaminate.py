@@ -90,7 +90,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     keys = _sized(keys, n_shingles, 24)
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("_w"))
     # outer, so that no size filter makes the shingles a second time
-    runs = texts.where(F.size("_w") > 0).select("doc_id", F.size("_w").alias("_n"), _shingles(F.col("_w")).alias("hs")).select("doc_id", "hs", F.posexplode_outer("hs").alias("pos", "h"))
+    runs = texts.select("doc_id", F.size("_w").alias("_n"), _shingles(F.col("_w")).alias("hs")).select("doc_id", "hs", F.posexplode_outer("hs").alias("pos", "h"))
     hits = runs.join(keys.where(F.col("n") >= WORDS), "h")
     start = F.least(F.col("pos"), F.greatest(F.size("hs") - F.col("k"), F.lit(0)))
     windows = hits.select("doc_id", "n", F.slice("hs", start + 1, F.col("k")).alias("w"))
@@ -98,7 +98,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - size, F.lit(0))), lambda i: F.xxhash64(F.slice("_w", i + 1, size)))
         one = texts.where(F.size("_w") >= size).select("doc_id", F.explode(F.array_distinct(grams)).alias("h")).join(keys.where(F.col("n") == size), "h")
         windows = windows.unionByName(one.select("doc_id", "n", F.array("h").alias("w")))
-    windows = windows.withColumn("fp", simhash(F.col("w"), F.size("w"))).withColumn("_b", F.explode(F.array(*map(F.lit, range(BLOCKS))))).withColumn("_v", _block(F.col("fp"), F.col("_b")))
+    # not null, so that no null test computes it once more below a join
+    windows = windows.withColumn("fp", F.coalesce(simhash(F.col("w"), F.size("w")), F.lit(0).cast("long"))).withColumn("_b", F.explode(F.array(*map(F.lit, range(BLOCKS))))).withColumn("_v", _block(F.col("fp"), F.col("_b")))
     index = items.select("item_id", "n", "item_fp", "item_shingles", F.explode(F.array(*(F.struct(F.lit(b).alias("_b"), _block(F.col("item_fp"), b).alias("_own")) for b in range(BLOCKS)))).alias("_e"))
     index = index.select("item_id", "n", "item_fp", F.col("_e._b").alias("_b"), F.explode(F.array(*(F.col("_e._own").bitwiseXOR(F.lit(m).cast("long")) for m in NEIGHBOURS))).alias("_v"))
     index = _sized(index, n_items * BLOCKS * len(NEIGHBOURS), INDEX_ROW_BYTES)
