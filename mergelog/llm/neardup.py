@@ -18,7 +18,7 @@ are gone through again: all their pairs of different components pass the estimat
 the join, so only likely pairs leave it. No partner is capped.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing.
-Repeated ids keep their rows. An empty table gives an empty result. Columns besides the
+Repeated ids keep their rows; rows without an id get the least id of their class, if any. An empty table gives an empty result. Columns besides the
 id and the text are not read.
 """
 
@@ -45,6 +45,7 @@ MANTISSA = 10
 ROWS = 4
 BANDS = BUCKETS // ROWS
 SIGMAS = 5
+BLOCK_ROWS = 1024
 #: Fixed odd multipliers of a shingle's words.
 PLACE = (ODD * (2 * np.arange(1, WORDS + 1, dtype=np.uint64) + np.uint64(1))) | np.uint64(1)
 EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -170,6 +171,54 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirm, "a long, b long")
 
 
+def _unit(table: pa.Table) -> pa.Table:
+    """Links that join components among the pairs of two blocks (or of one)."""
+    reps, comps, blocks = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
+    sets = [s for _, s in shingle_sets(table.column("text").combine_chunks())]
+    regs = np.stack([registers(s) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    names, own = np.unique(comps, return_inverse=True)
+    root = np.arange(len(names))
+    least, low, high = least_equal(), blocks.min(), blocks.max()
+    right = np.flatnonzero(blocks == high)
+    found: list[tuple[int, int]] = []
+    for x in np.flatnonzero(blocks == low):
+        other = right[right > x] if low == high else right
+        other = other[root[own[other]] != root[own[x]]]
+        other = other[DENOMINATOR * np.minimum(sizes[other], sizes[x]) >= NUMERATOR * np.maximum(sizes[other], sizes[x])]
+        if not len(other):
+            continue
+        equal = regs[other] == regs[x]
+        other = other[(equal.sum(axis=1) >= least) & equal.reshape(len(other), BANDS, ROWS).all(axis=2).any(axis=1)]
+        for y in other.tolist():
+            if root[own[y]] != root[own[x]]:
+                both = np.concatenate([sets[x], sets[y]])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if DENOMINATOR * shared >= NUMERATOR * (len(both) - shared):
+                    found.append((int(reps[x]), int(reps[y])))
+                    root[root == root[own[y]]] = root[own[x]]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _crossed(rest: DataFrame, texts: DataFrame, staging: Staging) -> DataFrame:
+    """Links between components among the members of shared bands.
+
+    Members that bands connect make a cluster. A cluster is cut into blocks of about
+    BLOCK_ROWS members, and each pair of blocks is one bounded unit that confirms its
+    pairs in place and gives back only links that join components: no pair is emitted
+    to be tested, and a hot cluster is many units.
+    """
+    cluster = staging.table(components(rest.select(F.col("hub").alias("a"), F.col("rep").alias("b")), staging, "cc-bands"), "clusters")
+    sized = cluster.groupBy("component").agg(F.count("*").alias("n")).select(F.col("component").alias("cluster"), F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+    nodes = rest.select("rep", "component").distinct().join(cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep").join(sized, "cluster")
+    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    told = nodes.join(texts.select(F.col("doc_id").alias("_d"), "text"), F.col("rep") == F.col("_d")).drop("_d")
+    dealt = told.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "rep", "component", "block", "text")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(_unit, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) for every row of df."""
     spark = df.sparkSession
@@ -196,15 +245,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # what the stars left: bands whose members lie in several components
     placed = members.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = staging.table(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = staging.table(placed.join(mixed, "key").join(reg, "rep").select("key", "rep", "component", "r"), "rest")
-    left = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("_ca"), F.col("r").alias("_p"))
-    right = rest.select(F.col("key").alias("_key"), F.col("rep").alias("b"), F.col("component").alias("_cb"), F.col("r").alias("_q"))
-    across = left.join(right, (F.col("key") == F.col("_key")) & (F.col("_ca") < F.col("_cb")) & (_equal("_p", "_q") >= least)).select("a", "b").distinct()
-    across = staging.table(across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "across")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).where("lo < hi").select("key", "hub")
+    rest = staging.table(placed.join(mixed, "key").select("hub", "rep", "component").distinct(), "rest")
     final = comp
-    if not across.isEmpty():
-        more = _verified(across, texts)
+    if not rest.isEmpty():
+        more = _crossed(rest, texts, staging)
         # of the stars' links their components are enough: each node keeps one
         edges = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         final = staging.table(components(edges, staging, "cc2"), "comp-2")
@@ -213,4 +258,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_class = by_class.select("sum_1", "sum_2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     placed = sk.select("doc_id", "n_shingles", "sum_1", "sum_2").join(by_class, ["sum_1", "sum_2", "n_shingles"], "left")
     own = F.coalesce("component_id", "doc_id")
-    return placed.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return placed.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
