@@ -14,8 +14,8 @@ Candidates are verified by exact weighted-shingle similarity: shared counts to a
 counts, 0.75 or more.
 
 Defined results: null, empty or blank texts, and texts that share no shingle, are clean.
-Items without words match nothing. Repeated ids get the same row for each of their rows'
-findings together. With an empty benchmark all documents are clean. Only the named
+Items without words match nothing. Repeated ids get their rows' findings
+together; rows without an id are reported clean. With an empty benchmark all documents are clean. Only the named
 columns are read. Items under five words have their whole sequence as one shingle.
 """
 

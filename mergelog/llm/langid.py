@@ -124,9 +124,10 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from at most train_rows labelled rows where `trains` holds; what comes to the driver is a vector for each."""
-    ids = docs.where(trains & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows).distinct()
-    rows = docs.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(F.broadcast(ids), F.col(id_col) == F.col("_id"))
-    got = rows.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).mapInArrow(_vectors, "lang string, counts binary").toArrow()
+    base = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), trains.alias("_t")).where(F.col("_t") & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
+    ids = base.where(F.col("_d").isNotNull()).select(F.col("_d").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows).distinct()
+    rows = base.join(F.broadcast(ids), F.col("_d") == F.col("_id")).select("_lang", "_text")
+    got = rows.mapInArrow(_vectors, "lang string, counts binary").toArrow()
     if not got.num_rows:
         return None
     langs = np.array(got.column("lang").to_pylist(), dtype=object)

@@ -46,8 +46,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(column: str, folds: int) -> Column:
-    """crc32 of the id as text, by folds."""
-    return F.crc32(F.col(column).cast("string")) % folds
+    """crc32 of the id as text, by folds; rows without an id are in fold 1."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % folds, F.lit(1).cast("long"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

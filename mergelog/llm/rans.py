@@ -179,6 +179,7 @@ class Coder:
 
 
 BLOCKS = "part int, block int, before long, doc_ids array<long>, lens array<long>, ids binary"
+CODED = "doc_ids array<long>, lens array<long>, start long, block binary"
 LIST = pa.list_(pa.int64())
 
 
@@ -276,7 +277,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str | None = None, id_co
     starts, total = {}, 0
     for part, n in blocks.select("part", F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n")).orderBy("part").collect():
         starts[part], total = total, total + n
-    coded = blocks.select("part", "before", "doc_ids", "lens", "ids").mapInArrow(_encode(freq, starts), "doc_ids array<long>, lens array<long>, start long, block binary")
+    coded = blocks.select("part", "before", "doc_ids", "lens", "ids").mapInArrow(_encode(freq, starts), CODED)
     coded.write.option("compression", "none").parquet(f"{folder}/blocks")
     table = [(int(k), int(freq[k])) for k in np.flatnonzero(freq)]
     spark.createDataFrame(table, "id int, freq long").coalesce(1).write.parquet(f"{folder}/table")
@@ -289,7 +290,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False, vocabu
     for i, f in spark.read.parquet(f"{folder}/table").collect():
         freq[i] = f
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return spark.read.parquet(f"{folder}/blocks").mapInArrow(_decode(freq, with_ids), schema)
+    return spark.read.schema(CODED).parquet(f"{folder}/blocks").mapInArrow(_decode(freq, with_ids), schema)
 
 
 def token_files(df: DataFrame, **options) -> DataFrame:
