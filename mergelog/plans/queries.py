@@ -1,3 +1,307 @@
-"""Driver queries over the state engine."""
+"""Driver queries: the engine's functions applied to the driver's tables. The same names are in oracle.py as SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mergelog.errors import LABELS, status_text
+from mergelog.functions import bloom, hashing, workload
+from mergelog.operators import compaction, resolve, segment
+from mergelog.sources import manifest, wal
+
+FPR = 0.01
+BLOCK = 512
+RATIO = 4
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def mut_events(spark: SparkSession, d: str) -> DataFrame:
+    """seq, tag, key, value: an error deletes its user's key, any other event puts its properties."""
+    gone = F.col("event_type") == "error"
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(gone, 1).otherwise(0).alias("tag"), F.col("user_id").cast("string").alias("key"), F.when(gone, "").otherwise(F.col("props")).alias("value"))
+
+
+def mut_orders(spark: SparkSession, d: str) -> DataFrame:
+    gone = F.col("o_orderstatus") == "F"
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.when(gone, 1).otherwise(0).alias("tag"), F.col("o_custkey").cast("string").alias("key"), F.when(gone, "").otherwise(F.col("o_orderpriority")).alias("value"))
+
+
+def probes(spark: SparkSession, d: str) -> DataFrame:
+    """All customers' keys, and as many that no one wrote."""
+    key = F.col("c_custkey").cast("string")
+    return table(spark, d, "customer").select(F.explode(F.array(key, F.concat(F.lit("absent"), key))).alias("key"))
+
+
+def seg_fixed() -> Column:
+    return (F.floor(F.col("seq") / 1000) + 1).cast("long")
+
+
+def seg_doubling() -> Column:
+    return F.length(F.bin(F.col("seq") + 1)).cast("long")
+
+
+def event_images(spark: SparkSession, d: str, seg: Column | None = None) -> DataFrame:
+    return resolve.image(mut_events(spark, d).withColumn("seg", seg_fixed() if seg is None else seg))
+
+
+def doubling_segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with pos, segments): sizes double with age's place, so tiers differ."""
+    rows = resolve.latest(mut_events(spark, d).withColumn("seg", seg_doubling()), "seg")
+    size = (F.octet_length("key") + F.octet_length("value") + 9).cast("long")
+    sums = rows.groupBy("seg").agg(F.sum(size).alias("size_bytes"), F.count("*").alias("n_entries"))
+    place = (F.row_number().over(Window.orderBy(F.desc("seg"))) - 1).cast("long")
+    segments = sums.select(place.alias("pos"), F.col("seg").alias("number"), "size_bytes", "n_entries")
+    return rows.join(F.broadcast(segments.select(F.col("number").alias("seg"), "pos")), "seg"), segments
+
+
+def kv_mutation_log(spark, d):
+    return resolve.admissible(mut_events(spark, d)).select("seq", "tag", "key", "value")
+
+
+def kv_live_state(spark, d):
+    return resolve.live(mut_events(spark, d)).select("key", "value", "seq")
+
+
+def kv_get_status(spark, d):
+    return resolve.get_status(probes(spark, d), mut_orders(spark, d))
+
+
+def kv_multi_get(spark, d):
+    return resolve.multi_get(probes(spark, d), mut_orders(spark, d))
+
+
+def kv_key_history(spark, d):
+    return resolve.history(mut_events(spark, d))
+
+
+def kv_reject_empty_key(spark, d):
+    """Every seventh key is emptied; the write path keeps the rest."""
+    dirty = mut_events(spark, d).withColumn("key", F.when(F.col("seq") % 7 == 0, "").otherwise(F.col("key")))
+    return resolve.admissible(dirty).agg(F.count("*").alias("accepted"), F.count_distinct("key").alias("keys"))
+
+
+def memtable_image(spark, d):
+    return event_images(spark, d).select("seg", "key_rank", "key", "tag", "value", "seq")
+
+
+def memtable_bytes(spark, d):
+    return resolve.memory(event_images(spark, d))
+
+
+def flush_plan(spark, d):
+    """The cuts for a threshold of 4096 bytes: (seg, first_seq, last_seq, n)."""
+    plan = segment.flush_plan(mut_events(spark, d), 4096)
+    return plan.groupBy("seg").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
+
+
+def blocks(spark, d):
+    return segment.entry_blocks(event_images(spark, d), BLOCK)
+
+
+def sst_entry_blocks(spark, d):
+    return blocks(spark, d).select("seg", "key", "size", "block")
+
+
+def sst_document_blocks(spark, d):
+    """Large values: documents by tens of thousands of ids a segment, blocks of 4096 bytes."""
+    docs = table(spark, d, "documents").select((F.floor(F.col("doc_id") / 500) + 1).cast("long").alias("seg"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("key"), F.col("text").alias("value"))
+    return segment.sparse_index(segment.entry_blocks(docs, 4096))
+
+
+def sst_sparse_index(spark, d):
+    return segment.sparse_index(blocks(spark, d))
+
+
+def sst_index_lookup(spark, d):
+    return segment.index_lookup(probes(spark, d), sst_sparse_index(spark, d)).select("seg", "key", F.col("block").cast("long").alias("block"))
+
+
+def bloom_hash(spark, d):
+    """The hash by built-in functions beside the batch function's halves."""
+    keys = bloom.with_hashes(mut_events(spark, d).select("key").distinct())
+    both = F.col("h2").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(20,0)") + F.col("h1")
+    return keys.select("key", hashing.fnv1a64(F.col("key")).cast("string").alias("hash"), both.cast("decimal(20,0)").cast("string").alias("batch_hash"))
+
+
+def bloom_params(spark, d):
+    n = table(spark, d, "part").select((F.col("p_partkey") * F.col("p_size")).cast("long").alias("n")).distinct()
+    grid = n.select("n", F.explode(F.array(*map(F.lit, (0.5, 0.1, 0.01, 0.001)))).alias("fpr"))
+    return grid.select("n", "fpr", bloom.num_bits(F.col("n"), F.col("fpr")).alias("bits"), bloom.num_probes(F.col("fpr")).cast("long").alias("probes"))
+
+
+def bloom_set_bits(spark, d):
+    return bloom.set_bits(event_images(spark, d), FPR)
+
+
+def _maybe(spark, d, asked):
+    images = event_images(spark, d)
+    return bloom.may_contain(asked, bloom.parameters(images, FPR), bloom.set_bits(images, FPR))
+
+
+def bloom_false_positives(spark, d):
+    """(seg, probes, false_positives) over keys that no one wrote."""
+    absent = probes(spark, d).where(F.col("key").startswith("absent"))
+    return _maybe(spark, d, absent).groupBy("seg").agg(F.count("*").alias("probes"), F.sum(F.col("maybe").cast("long")).alias("false_positives"))
+
+
+def bloom_no_false_negatives(spark, d):
+    images = event_images(spark, d)
+    asked = images.select("key")
+    return _maybe(spark, d, asked).join(images.select("seg", "key"), ["seg", "key"]).agg(F.count("*").alias("members"), F.sum((~F.col("maybe")).cast("long")).alias("rejected"))
+
+
+def read_amplification(spark, d):
+    return segment.read_amplification(probes(spark, d), event_images(spark, d), FPR)
+
+
+def segment_tiers(spark, d):
+    _, segments = doubling_segments(spark, d)
+    return segments.select("pos", "number", "size_bytes", "n_entries", compaction.size_tier(F.col("size_bytes"), RATIO).cast("long").alias("tier"))
+
+
+def _pick(spark, d, min_merge):
+    return compaction.pick(doubling_segments(spark, d)[1], RATIO, min_merge)
+
+
+def compaction_pick(spark, d):
+    """For several lengths of run: (min_merge, start, end, tier, length, drop_tombstones)."""
+    out = None
+    for n in (2, 4):
+        one = _pick(spark, d, n).select(F.lit(n).cast("long").alias("min_merge"), "start", "end", F.col("tier").cast("long").alias("tier"), "length", "drop_tombstones")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def compaction_runs(spark, d):
+    return compaction.runs(doubling_segments(spark, d)[1], RATIO).select("start", "end", F.col("tier").cast("long").alias("tier"), "length")
+
+
+def _merged(spark, d, drop):
+    rows, _ = doubling_segments(spark, d)
+    chosen = F.broadcast(_pick(spark, d, 4).select("start", "end"))
+    run = rows.join(chosen, (F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("end")))
+    return compaction.merge(run, drop).select("key", "tag", "value", "pos")
+
+
+def compaction_merge_keep(spark, d):
+    return _merged(spark, d, False)
+
+
+def compaction_merge_drop(spark, d):
+    return _merged(spark, d, True)
+
+
+def compaction_fixpoint(spark, d):
+    """The planner's whole course over the fixed segments' sizes, from a list that has one item a segment."""
+    rows = event_images(spark, d).withColumn("size", (F.octet_length("key") + F.octet_length("value") + 9).cast("long")).groupBy("seg").agg(F.sum("size").alias("s")).orderBy(F.desc("seg")).collect()
+    held = [compaction.Meta(r["seg"], r["s"]) for r in rows]
+    step, out, number = 0, [], max((t.number for t in held), default=0)
+    while (run := compaction.pick_run(held, RATIO, 4)) is not None:
+        first, last, drop = run
+        number, step = number + 1, step + 1
+        out.append((step, first, last - 1, drop, number))
+        held[first:last] = [compaction.Meta(number, sum(t.size_bytes for t in held[first:last]))]
+    return spark.createDataFrame(out, "step long, start long, end long, drop_tombstones boolean, number long")
+
+
+def wal_frames(spark, d):
+    return wal.frames(mut_events(spark, d))
+
+
+def wal_offsets(spark, d):
+    return wal.offsets(wal.frames(mut_events(spark, d))).select("seq", "frame_len", "start", "end")
+
+
+def _bad() -> Column:
+    """A planted checksum error, past the first half of a thousand frames."""
+    return (F.col("seq") % 997 == 600) & (F.col("crc") % 2 == 0)
+
+
+def wal_recover(spark, d):
+    return wal.good_prefix(wal.offsets(wal.frames(mut_events(spark, d))), _bad()).select("seq", "start", "end")
+
+
+def wal_truncate_offset(spark, d):
+    return wal.truncate_offset(wal.offsets(wal.frames(mut_events(spark, d))), _bad())
+
+
+def manifest_state(spark, d):
+    return manifest.state(event_images(spark, d).select(F.col("seg").alias("number")).distinct())
+
+
+def live_and_orphan_segments(spark, d):
+    """Every third file isn't in the manifest."""
+    files = event_images(spark, d).select(F.col("seg").alias("number")).distinct()
+    return manifest.live_files(files, files.where("number % 3 <> 0"))
+
+
+def snapshot_read(spark, d):
+    log = mut_events(spark, d)
+    half = log.agg(F.floor(F.max("seq") / 2).alias("_s"))
+    return resolve.live(log.join(F.broadcast(half), F.col("seq") <= F.col("_s"))).select("key", "value", "seq")
+
+
+def range_scan(spark, d):
+    return resolve.scan(resolve.live(mut_orders(spark, d)).select("key", "value"), "1", "3")
+
+
+def seek(spark, d):
+    """The first live keys at or after a place."""
+    return resolve.scan(resolve.live(mut_orders(spark, d)).select("key", "value"), "2", limit=10)
+
+
+def bench_key(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", workload.bench_key(F.col("o_orderkey"), 4).alias("narrow"), workload.bench_key(F.col("o_orderkey"), 16).alias("wide"))
+
+
+def zipf_cdf(spark, d):
+    ranks = table(spark, d, "customer").select((F.col("c_custkey") - F.lit(0)).alias("c")).select((F.row_number().over(Window.orderBy("c")) - 1).cast("long").alias("i"))
+    return workload.zipf_cdf(ranks, 0.99).select("i", F.round("cdf", 9).alias("cdf"))
+
+
+def zipf_draw(spark, d):
+    ranks = table(spark, d, "customer").select((F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("long").alias("i"))
+    draws = table(spark, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") % 97 + 0.5) / 97).alias("u"))
+    return workload.zipf_draw(draws, workload.zipf_cdf(ranks, 0.99)).select("s_suppkey", F.col("drawn").cast("long").alias("drawn"))
+
+
+def latency_percentiles(spark, d):
+    return workload.latency_percentiles(table(spark, d, "events"), "event_type", "value")
+
+
+def median_of_trials(spark, d):
+    trials = table(spark, d, "events").groupBy(F.col("event_type").alias("workload"), (F.col("event_id") % 5).alias("trial")).agg(F.count("*").alias("ops"))
+    return workload.median_of_trials(trials, "workload").select("workload", "trial", "ops", "ops_min", "ops_max")
+
+
+def status_line(spark, d):
+    codes = list(LABELS)
+    code = F.element_at(F.array(*map(F.lit, codes)), (F.col("n_nationkey") % len(codes) + 1).cast("int"))
+    message = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("")
+    return table(spark, d, "nation").select("n_nationkey", status_text(code, message).alias("status"))
+
+
+def throughput_summary(spark, d):
+    """Operations a second over the span of each type's events."""
+    span = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
+    rows = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("ops"), span.alias("span_us"))
+    return rows.select("event_type", "ops", "span_us", F.round(F.col("ops") * 1e6 / F.col("span_us"), 6).alias("ops_per_sec"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        kv_mutation_log, kv_live_state, kv_get_status, kv_multi_get, kv_key_history, kv_reject_empty_key, memtable_image, memtable_bytes, flush_plan,
+        sst_entry_blocks, sst_document_blocks, sst_sparse_index, sst_index_lookup, bloom_hash, bloom_params, bloom_set_bits, bloom_false_positives,
+        bloom_no_false_negatives, read_amplification, segment_tiers, compaction_pick, compaction_runs, compaction_merge_keep, compaction_merge_drop,
+        compaction_fixpoint, wal_frames, wal_offsets, wal_recover, wal_truncate_offset, manifest_state, live_and_orphan_segments, snapshot_read,
+        range_scan, seek, bench_key, zipf_cdf, zipf_draw, latency_percentiles, median_of_trials, throughput_summary,
+    )
+}
+QUERIES["status_text"] = status_line
