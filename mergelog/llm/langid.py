@@ -145,7 +145,7 @@ def fit(docs: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, centroids
         own = cos[sizes == k]
         if len(own) >= LEAST_TRAINED:
             mid = np.median(own)
-            model.least[k] = min(np.quantile(own, 0.002) - 0.1, mid - 8 * 1.4826 * np.median(np.abs(own - mid)))
+            model.least[k] = min(np.quantile(own, 0.002) - 0.1, mid - 8 * 1.4826 * np.median(np.abs(own - mid)), 0.6 * mid)
     return model
 
 
