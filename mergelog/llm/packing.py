@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .arrow import column
 from .staging import Staging
-from .tokens import END_ID, default_tokenizer_path, encoded_slices
+from .tokens import default_tokenizer_path, document_slices
 
 CAPACITY = 2048
 GROUPS = 32
-RANK_ROWS = 20_000
+RANK_ROWS = 4_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -192,16 +192,16 @@ def _best_fit(plan: Plan, left: dict[int, int]) -> None:
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for ids, encoded in encoded_slices(column(batch, "_id"), column(batch, "_text"), path):
-                for doc, raw in zip(ids, encoded, strict=True):
-                    whole = np.frombuffer(raw, "<u2").astype("<u4").tobytes() + end
-                    n = len(whole) // 4
+            docs = column(batch, "_id").to_pylist()
+            for first, ids, at in document_slices(column(batch, "_text"), path):
+                raw = memoryview(ids.astype("<u4").tobytes())
+                for k, (start, end) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    n = end - start
                     cut = list(range(n % capacity or capacity, n + 1, capacity)) if n > capacity else [n]
-                    for k, (a, b) in enumerate(zip([0, *cut], cut)):
-                        for out, v in zip(rows, (doc, k, a, b - a, zlib.crc32(whole[4 * a : 4 * b])), strict=True):
+                    for piece, (a, b) in enumerate(zip([0, *cut], cut)):
+                        for out, v in zip(rows, (docs[first + k], piece, a, b - a, zlib.crc32(raw[4 * (start + a) : 4 * (start + b)])), strict=True):
                             out.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

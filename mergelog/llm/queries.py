@@ -65,7 +65,9 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    """One row for each document: contaminated, kept (the opposite), and the items found, as text."""
+    found = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", (~F.col("contaminated")).alias("kept"), "similarity", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("items"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

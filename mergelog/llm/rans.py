@@ -22,19 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import column
 from .staging import Staging
-from .tokens import END_ID, default_tokenizer_path, encoded_slices
+from .tokens import default_tokenizer_path, document_slices
 
 BITS = 20
 LANES = 256
 BLOCK_IDS = 131_072
 CHECKPOINT = 256
-TOGETHER = 16
+TOGETHER = 32
 PART_ROWS = 8192
+BROADCAST_BYTES = 64 << 20
 MAGIC = b"rANS"
 HEADER = struct.Struct("<4sQIIIQII")
 LOW = np.uint64(1 << 31)
@@ -68,7 +69,7 @@ class Coder:
     @property
     def symbols(self) -> np.ndarray:
         if self._symbols is None:
-            self._symbols = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+            self._symbols = np.repeat(np.arange(len(self.freq), dtype=np.uint16), self.freq.astype(np.int64))
         return self._symbols
 
     def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
@@ -100,8 +101,9 @@ class Coder:
                     words[k].append(low[at[k] : at[k + 1]])
                 sent[:live] += per
                 x = np.where(full, x >> U32, x)
-            q, r = np.divmod(x, self.freq[t])
-            state[: live * LANES] = (q << UBITS) + r + self.cum[t]
+            f = self.freq[t]
+            q = x // f
+            state[: live * LANES] = (q << UBITS) + (x - q * f) + self.cum[t]
             if s and s % CHECKPOINT == 0:
                 for k in range(live):
                     marks[k].append((int(sent[k]), state[k * LANES : (k + 1) * LANES].copy()))
@@ -178,60 +180,65 @@ class Coder:
         return ids
 
 
-BLOCKS = "part int, block int, before long, doc_ids array<long>, lens array<long>, ids binary"
+BLOCKS = "part int, block int, before long, doc_ids array<long>, lens array<long>, ids binary, counts binary"
 CODED = "doc_ids array<long>, lens array<long>, start long, block binary"
 LIST = pa.list_(pa.int64())
 
 
-def _ordered(path: str):
+def _ordered(path: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
         docs, lens, raws, size = [], [], [], 0
-        end = np.array([END_ID], "<u2").tobytes()
+        counts = np.zeros(vocabulary, np.int64)
 
-        def out():
-            kinds = (pa.int32(), pa.int32(), pa.int64(), LIST, LIST, pa.binary())
-            row = (part, block, before, docs, lens, b"".join(raws))
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "block", "before", "doc_ids", "lens", "ids"])
+        def out(last: bytes | None = None):
+            row = (part, -1 if last else block, before, docs, lens, b"".join(raws), last)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), LIST, LIST, pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "block", "before", "doc_ids", "lens", "ids", "counts"])
 
         for batch in batches:
-            for ids, encoded in encoded_slices(column(batch, "_id"), column(batch, "_text"), path):
-                for doc, raw in zip(ids, encoded, strict=True):
-                    docs.append(doc)
-                    raws.append(raw + end)
-                    lens.append(len(raw) // 2 + 1)
-                    size += lens[-1]
+            own = column(batch, "_id").to_pylist()
+            for first, ids, at in document_slices(column(batch, "_text"), path):
+                counts += np.bincount(ids, minlength=vocabulary)
+                raw = ids.astype("<u2").tobytes()
+                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    docs.append(own[first + k])
+                    raws.append(raw[2 * a : 2 * b])
+                    lens.append(b - a)
+                    size += b - a
                     if size >= BLOCK_IDS:
                         yield out()
                         block, before = block + 1, before + size
                         docs, lens, raws, size = [], [], [], 0
         if docs:
             yield out()
+            docs, lens, raws = [], [], []
+        if counts.any():
+            yield out(zlib.compress(counts.astype("<i8").tobytes(), 1))
 
     return run
 
 
-def _count(size: int):
+def _sum(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in column(batch, "ids"):
-                counts += np.bincount(np.frombuffer(raw.as_buffer(), "<u2"), minlength=size)
+            for raw in column(batch, "counts"):
+                counts += np.frombuffer(zlib.decompress(raw.as_py()), "<i8")
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(counts[seen])], names=["id", "n"])
 
     return run
 
 
-def _encode(freq: np.ndarray, starts: dict[int, int]):
+def _encode(freq: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
         for batch in batches:
             for k in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(k, TOGETHER)
                 coded = coder.encode([np.frombuffer(v.as_buffer(), "<u2") for v in column(some, "ids")])
-                start = [starts[p] + b for p, b in zip(column(some, "part").to_pylist(), column(some, "before").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([column(some, "doc_ids").cast(LIST), column(some, "lens").cast(LIST), pa.array(start, pa.int64()), pa.array(coded, pa.binary())], names=["doc_ids", "lens", "start", "block"])
+                yield pa.RecordBatch.from_arrays([column(some, "doc_ids").cast(LIST), column(some, "lens").cast(LIST), column(some, "start"), pa.array(coded, pa.binary())], names=["doc_ids", "lens", "start", "block"])
 
     return run
 
@@ -262,22 +269,25 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str | None = None, id_co
 
     Null and empty texts are the end id alone; equal ids keep all their rows, ordered by
     text; an empty table gives empty files. The range exchange moves texts once; what
-    comes to the driver is one total for each partition and the ids' counts.
+    comes to the driver is the ids' counts.
     """
     spark = df.sparkSession
     staging = Staging(spark, "rans")
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     parts = max(1, -(-texts.select("_id").count() // PART_ROWS))
-    ordered = texts.repartitionByRange(parts, "_id").sortWithinPartitions("_id", "_text").mapInArrow(_ordered(tokenizer or default_tokenizer_path()), BLOCKS)
+    ordered = texts.repartitionByRange(parts, "_id").sortWithinPartitions("_id", "_text").mapInArrow(_ordered(tokenizer or default_tokenizer_path(), vocabulary), BLOCKS)
     blocks = staging.table(ordered, "blocks")
     counts = np.zeros(vocabulary, np.int64)
-    for i, n in blocks.select("ids").mapInArrow(_count(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in blocks.where("counts is not null").select("counts").mapInArrow(_sum(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n
     freq = scaled(counts)
-    starts, total = {}, 0
-    for part, n in blocks.select("part", F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n")).orderBy("part").collect():
-        starts[part], total = total, total + n
-    coded = blocks.select("part", "before", "doc_ids", "lens", "ids").mapInArrow(_encode(freq, starts), CODED)
+    blocks = blocks.where("block >= 0")
+    totals = blocks.select("part", F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    starts = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))  # one row a partition
+    if parts * 16 <= BROADCAST_BYTES:  # else the join shuffles the blocks too
+        starts = F.broadcast(starts)
+    placed = blocks.join(starts, "part").withColumn("start", F.col("first") + F.col("before"))
+    coded = placed.select("doc_ids", "lens", "start", "ids").mapInArrow(_encode(freq), CODED)
     coded.write.option("compression", "none").parquet(f"{folder}/blocks")
     table = [(int(k), int(freq[k])) for k in np.flatnonzero(freq)]
     spark.createDataFrame(table, "id int, freq long").coalesce(1).write.parquet(f"{folder}/table")
