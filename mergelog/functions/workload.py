@@ -20,14 +20,27 @@ def zipf_cdf(ranks: DataFrame, skew: float, rank: str = "i") -> DataFrame:
     return ranks.select(F.col(rank), (running / total).alias("cdf"))
 
 
-def zipf_draw(draws: DataFrame, cdf: DataFrame, u: str = "u") -> DataFrame:
-    """draws with the first rank whose cdf reaches u: a union sorted by place replaces an unbounded range join."""
+def zipf_draw(draws: DataFrame, cdf: DataFrame, u: str = "u", spans: int = 4096) -> DataFrame:
+    """draws with the first rank whose cdf reaches u.
+
+    Draws and marks are dealt to equal spans of [0, 1] and sorted within each; a draw after
+    its span's last mark takes the first mark of the next span that has one, from a table
+    of at most `spans` rows. No range join, and no task sorts all draws.
+    """
     names = draws.columns
+
+    def span(x: Column) -> Column:
+        return F.least(F.floor(x * spans), F.lit(spans)).cast("long")
+
     marks = cdf.select(F.col("cdf").alias("_x"), F.lit(1).alias("_o"), F.col("i").alias("_i"), *(F.lit(None).cast(t).alias(n) for n, t in draws.dtypes))
     asked = draws.select(F.col(u).alias("_x"), F.lit(0).alias("_o"), F.lit(None).cast("long").alias("_i"), *names)
-    after = Window.orderBy("_x", "_o", "_i").rowsBetween(0, Window.unboundedFollowing)
-    both = asked.unionByName(marks).withColumn("drawn", F.first("_i", ignorenulls=True).over(after))
-    return both.where("_o = 0").select(*names, "drawn")
+    both = asked.unionByName(marks).withColumn("_s", span(F.col("_x")))
+    after = Window.partitionBy("_s").orderBy("_x", "_o", "_i").rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("_d", F.first("_i", ignorenulls=True).over(after)).where("_o = 0")
+    firsts = cdf.groupBy(span(F.col("cdf")).alias("_s")).agg(F.min("i").alias("_f"))
+    every = draws.sparkSession.range(spans + 1).select(F.col("id").alias("_s")).join(firsts, "_s", "left")
+    later = every.select("_s", F.first("_f", ignorenulls=True).over(Window.orderBy("_s").rowsBetween(1, Window.unboundedFollowing)).alias("_f"))
+    return found.join(F.broadcast(later), "_s", "left").select(*names, F.coalesce("_d", "_f").alias("drawn"))
 
 
 def floor_rank(n: Column, f: float) -> Column:

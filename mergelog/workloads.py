@@ -101,6 +101,15 @@ class Runner:
             return zipf_draw(drawn, zipf_cdf(ranks, SKEW)).select(F.col("drawn").alias("i"), "ord")
         return drawn.select(F.floor(F.col("u") * self.args.num_keys).cast("long").alias("i"), "ord")
 
+    def _drawn(self, root: str, frames: list[DataFrame]) -> list[DataFrame]:
+        """Frames as written tables, so that drawing isn't timed."""
+        out = []
+        for k, df in enumerate(frames):
+            path = f"file://{root}/drawn-{time.monotonic_ns()}-{k}"
+            df.write.parquet(path)
+            out.append(self.spark.read.parquet(path))
+        return out
+
     def fill(self, trial: int, sequential: bool) -> Summary:
         root, store = self._fresh()
 
@@ -120,26 +129,26 @@ class Runner:
             store.put(self._rows(self._index(*cut), "v"), "ord")
         return root, store
 
-    def reads(self, trial: int, zipf: bool, store: Store) -> Summary:
-        def run(cut: tuple[int, int]) -> int:
-            asked = self._asked(*cut, zipf).select(bench_key(F.col("i"), self.args.key_size).cast("binary").alias("key"))
-            return store.multi_get(asked).where("status = 'found'").count()
-
-        took, found = self._timed(self._cut(self.args.num_ops), run)
-        if not found:
-            raise RuntimeError("reads found nothing")
+    def reads(self, trial: int, zipf: bool, store: Store, root: str) -> Summary:
+        key = bench_key(F.col("i"), self.args.key_size).cast("binary").alias("key")
+        asked = self._drawn(root, [self._asked(*cut, zipf).select(key) for cut in self._cut(self.args.num_ops)])
+        took, found = self._timed(asked, lambda df: df.join(store.multi_get(df).where("status = 'found'"), "key", "left_semi").count())
+        if found != self.args.num_ops:
+            raise RuntimeError(f"{self.args.num_ops - found} reads found nothing")
         return summarize("read-random-zipfian" if zipf else "read-random-uniform", trial, self.args.num_ops, took, found)
 
-    def mixed(self, trial: int, store: Store) -> Summary:
-        def run(cut: tuple[int, int]) -> int:
-            index = self._asked(*cut, False)
-            coin = F.xxhash64("ord", F.lit(self.args.seed + 1)) % 2 == 0
-            asked = index.where(coin).select(bench_key(F.col("i"), self.args.key_size).cast("binary").alias("key"))
-            found = store.multi_get(asked).where("status = 'found'").count()
+    def mixed(self, trial: int, store: Store, root: str) -> Summary:
+        key = bench_key(F.col("i"), self.args.key_size).cast("binary").alias("key")
+        coin = F.xxhash64("ord", F.lit(self.args.seed + 1)) % 2 == 0
+        frames = self._drawn(root, [self._asked(*cut, False) for cut in self._cut(self.args.num_ops)])
+
+        def run(index: DataFrame) -> int:
+            asked = index.where(coin).select(key)
+            found = asked.join(store.multi_get(asked).where("status = 'found'"), "key", "left_semi").count()
             store.put(self._rows(index.where(~coin), "w"), "ord")
             return found
 
-        took, found = self._timed(self._cut(self.args.num_ops), run)
+        took, found = self._timed(frames, run)
         return summarize("mixed-50-50", trial, self.args.num_ops, took, found)
 
     def suite(self, names: tuple[str, ...]) -> list[Summary]:
@@ -150,12 +159,12 @@ class Runner:
                     out[n].append(self.fill(trial, n == "fill-sequential"))
             if any(not n.startswith("fill") for n in names):
                 root, store = self._populated()
-                self.reads(-1, False, store)  # an untimed pass to warm up
+                self.reads(-1, False, store, root)  # an untimed pass to warm up
                 for n in names:
                     if n.startswith("read"):
-                        out[n].append(self.reads(trial, n == "read-random-zipfian", store))
+                        out[n].append(self.reads(trial, n == "read-random-zipfian", store, root))
                     elif n == "mixed-50-50":
-                        out[n].append(self.mixed(trial, store))
+                        out[n].append(self.mixed(trial, store, root))
                 shutil.rmtree(root, ignore_errors=True)
         return [median_of_trials(t) for t in out.values()]
 
