@@ -12,6 +12,7 @@ from .chat import chat_digests, json_records
 from .decontaminate import decontaminate
 from .hnsw import nearest
 from .neardup import near_duplicates
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import pack_documents
 from .rans import token_files
 from .secrets import scan_secrets
@@ -20,7 +21,7 @@ from .substrings import remove_repeats
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("class_id")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_decontaminate": op10_decontaminate,
 }
-
-ORACLE_SQL: dict[str, str] = {}
