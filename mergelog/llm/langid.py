@@ -14,6 +14,7 @@ rejected. Ties go to the lesser language name. Without any labelled row every te
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,7 @@ ROUNDS = 12
 SHARPNESS = 25.0
 LEAST_TRAINED = 40
 MOST_ROWS = 512
+STEPS = 20
 
 FOLD = LOWER.copy()
 FOLD[:65] = 32
@@ -70,14 +72,15 @@ def gram_counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
             yield first, counts.reshape(rows, DIMS), letters
 
 
-def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts) * idf
-    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-    return v / np.maximum(norm, 1e-12)
+def unit_vectors(logs: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF vectors from log1p of counts."""
+    v = logs * idf
+    v /= np.maximum(np.sqrt(np.einsum("rd,rd->r", v, v))[:, None], 1e-12)
+    return v
 
 
-def length_class(counts: np.ndarray) -> np.ndarray:
-    return np.log2(1 + counts.sum(axis=1)).astype(np.int64)
+def length_class(grams: np.ndarray) -> np.ndarray:
+    return np.log2(1 + grams).astype(np.int64)
 
 
 @dataclass
@@ -90,12 +93,16 @@ class Model:
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(language number, score, cosine, rejected)."""
-        cos = unit_vectors(counts, self.idf) @ self.centroids.T
+        own, score, top = self.compare(unit_vectors(np.log1p(counts), self.idf))
+        return own, score, top, top < self.least[length_class(counts.sum(axis=1))]
+
+    def compare(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cos = v @ self.centroids.T
         best = np.stack([cos[:, self.of == k].max(axis=1) for k in range(len(self.languages))], axis=1)
         own = best.argmax(axis=1)
         top = best.max(axis=1)
         p = np.exp(SHARPNESS * (best - top[:, None]))
-        return own, 1 / p.sum(axis=1), top, top < self.least[length_class(counts)]
+        return own, 1 / p.sum(axis=1), top
 
 
 def _clusters(v: np.ndarray, k: int) -> np.ndarray:
@@ -109,17 +116,20 @@ def _clusters(v: np.ndarray, k: int) -> np.ndarray:
     c = np.stack(seeds)
     for _ in range(ROUNDS):
         own = (v @ c.T).argmax(axis=1)
-        c = np.stack([v[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+        member = (own == np.arange(len(c))[:, None]).astype(np.float32)
+        c = np.where(member.any(axis=1)[:, None], member @ v, c)
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, n-grams, log1p of counts in steps of 1 / STEPS, a byte each): what a training text sends to the driver."""
     for batch in batches:
         langs = column(batch, "_lang")
         for first, counts, letters in gram_counts(column(batch, "_text")):
-            raw = [np.minimum(c, 65535).astype("<u2").tobytes() for c in counts[letters]]
-            yield pa.RecordBatch.from_arrays([langs.slice(first, len(letters)).filter(pa.array(letters)), pa.array(raw, pa.binary())], names=["lang", "counts"])
+            raw = [np.minimum(np.rint(np.log1p(c) * STEPS), 255).astype(np.uint8).tobytes() for c in counts[letters]]
+            sizes = pa.array(counts[letters].sum(axis=1).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([langs.slice(first, len(letters)).filter(pa.array(letters)), sizes, pa.array(raw, pa.binary())], names=["lang", "grams", "logs"])
 
 
 def fit(docs: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -127,20 +137,25 @@ def fit(docs: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, centroids
     base = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), trains.alias("_t")).where(F.col("_t") & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     ids = base.where(F.col("_d").isNotNull()).select(F.col("_d").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows).distinct()
     rows = base.join(F.broadcast(ids), F.col("_d") == F.col("_id")).select("_lang", "_text")
-    got = rows.mapInArrow(_vectors, "lang string, counts binary").toArrow()
-    if not got.num_rows:
+    got = rows.mapInArrow(_vectors, "lang string, grams long, logs binary").toArrow()
+    n = got.num_rows
+    if not n:
         return None
-    langs = np.array(got.column("lang").to_pylist(), dtype=object)
-    counts = np.stack([np.frombuffer(b, "<u2") for b in got.column("counts").to_pylist()]).astype(np.float32)
-    order = np.lexsort((counts @ np.arange(1, DIMS + 1, dtype=np.float64), langs.astype(str)))  # rows may come in any order
-    langs, counts = langs[order], counts[order]
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    v = unit_vectors(counts, idf)
+    langs, grams = np.array(got.column("lang").to_pylist(), dtype=object).astype(str), got.column("grams").to_numpy()
+    logs = np.concatenate([np.frombuffer(c.buffers()[2], np.uint8, len(c) * DIMS, c.offset * DIMS).reshape(-1, DIMS) for c in got.column("logs").chunks if len(c)])
+    del got
+    key = np.array([zlib.crc32(row) for row in logs])
+    order = np.lexsort((key, grams, langs))  # rows may come in any order
     names = sorted(set(langs))
-    parts = [_clusters(v[langs == name], centroids) for name in names]
+    idf = (np.log((1 + n) / (1 + np.count_nonzero(logs, axis=0))) + 1).astype(np.float32)
+
+    def vectors(rows: np.ndarray) -> np.ndarray:
+        return unit_vectors(logs[rows].astype(np.float32) / np.float32(STEPS), idf)
+
+    parts = [_clusters(vectors(order[langs[order] == name]), centroids) for name in names]
     model = Model(names, np.repeat(np.arange(len(names)), [len(p) for p in parts]), np.concatenate(parts).astype(np.float32), idf, np.full(64, -1.0))
-    _, _, cos, _ = model.predict(counts)
-    sizes = length_class(counts)
+    cos = np.concatenate([model.compare(vectors(np.arange(k, min(k + MOST_ROWS, n))))[2] for k in range(0, n, MOST_ROWS)])
+    sizes = length_class(grams)
     for k in np.unique(sizes):
         own = cos[sizes == k]
         if len(own) >= LEAST_TRAINED:
