@@ -53,9 +53,24 @@ def set_bits(images: DataFrame, fpr: float, by: str = "seg") -> DataFrame:
     return positions(with_hashes(images.select(by, "key")).join(parameters(images, fpr, by), by)).select(by, "bit").distinct()
 
 
-def may_contain(probes: DataFrame, params: DataFrame, bits: DataFrame, by: str = "seg") -> DataFrame:
-    """(seg, key, maybe) for each probe key and segment: all its bits are set. A segment without a filter (no parameters) accepts all upstream."""
-    pairs = with_hashes(probes.select("key").distinct()).crossJoin(F.broadcast(params))
-    wanted = positions(pairs).select(by, "key", "bit")
-    hit = wanted.join(bits.withColumn("_set", F.lit(True)), [by, "bit"], "left")
-    return hit.groupBy(by, "key").agg(F.min(F.coalesce("_set", F.lit(False))).alias("maybe"))
+def probe_count(fpr: float) -> int:
+    """num_probes for a known rate."""
+    return max(1, min(MOST_PROBES, math.floor(max(1.0, -math.log(fpr) / (LN2 * LN2)) * LN2 + 0.5)))
+
+
+def every_pair(probes: DataFrame, params: DataFrame) -> DataFrame:
+    """Each distinct probe key, hashed once, with each segment's parameters (one small row a segment)."""
+    return with_hashes(probes.select("key").distinct()).crossJoin(F.broadcast(params))
+
+
+def passing(pairs: DataFrame, bits: DataFrame, fpr: float, by: str = "seg") -> DataFrame:
+    """The (seg, key) of pairs (with h1, h2, bits) whose bits are all set.
+
+    Bit after bit, as a lookup would: half of the absent keys leave at each step, so the
+    rows that are joined sum up to about twice the pairs, and nothing is grouped.
+    """
+    marks = bits.select(F.col(by).alias("_s"), F.col("bit").alias("_b"))
+    left = pairs
+    for i in range(probe_count(fpr)):
+        left = left.join(marks, (F.col(by) == F.col("_s")) & (bit_at(F.col("h1"), F.col("h2"), F.lit(i).cast("long"), F.col("bits")) == F.col("_b")), "left_semi")
+    return left.select(by, "key")

@@ -85,8 +85,14 @@ def read_amplification(probes: DataFrame, images: DataFrame, fpr: float, by: str
     firsts = images.groupBy(by).agg(F.min("key").alias("first_key"))
     keys = probes.select("key").distinct()
     holders = images.join(keys, "key", "left_semi").groupBy("key").agg(F.max(by).alias("newest"))  # greater segments are newer
-    maybe = bloom.may_contain(keys, bloom.parameters(images, fpr, by), bloom.set_bits(images, fpr, by), by)
-    pairs = maybe.join(F.broadcast(firsts), by).join(holders, "key", "left")
-    open_ = (F.col("key") >= F.col("first_key")) & (F.col("newest").isNull() | (F.col(by) >= F.col("newest")))
-    counts = pairs.select(F.explode(F.array(F.struct(F.lit(True).alias("filtered"), (open_ & F.col("maybe")).alias("r")), F.struct(F.lit(False).alias("filtered"), open_.alias("r")))).alias("e"), "key")
-    return counts.groupBy("e.filtered").agg(F.sum(F.col("e.r").cast("long")).alias("blocks_read"), F.count_distinct("key").alias("probes"))
+    params = bloom.parameters(images, fpr, by)
+    pairs = bloom.every_pair(keys, params)
+    kept = bloom.passing(pairs, bloom.set_bits(images, fpr, by), fpr, by)
+    asked = keys.agg(F.count("*").alias("probes"))
+
+    def reads(some: DataFrame, filtered: bool) -> DataFrame:
+        near = some.select(by, "key").join(F.broadcast(firsts), by).where(F.col("key") >= F.col("first_key")).join(holders, "key", "left")
+        n = near.agg(F.count(F.when(F.col("newest").isNull() | (F.col(by) >= F.col("newest")), 1)).alias("blocks_read"))
+        return n.select(F.lit(filtered).alias("filtered"), "blocks_read")
+
+    return reads(kept, True).unionByName(reads(pairs, False)).crossJoin(F.broadcast(asked))

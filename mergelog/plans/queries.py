@@ -139,21 +139,22 @@ def bloom_set_bits(spark, d):
     return bloom.set_bits(event_images(spark, d), FPR)
 
 
-def _maybe(spark, d, asked):
-    images = event_images(spark, d)
-    return bloom.may_contain(asked, bloom.parameters(images, FPR), bloom.set_bits(images, FPR))
-
-
 def bloom_false_positives(spark, d):
     """(seg, probes, false_positives) over keys that no one wrote."""
+    images = event_images(spark, d)
+    params = bloom.parameters(images, FPR)
     absent = probes(spark, d).where(F.col("key").startswith("absent"))
-    return _maybe(spark, d, absent).groupBy("seg").agg(F.count("*").alias("probes"), F.sum(F.col("maybe").cast("long")).alias("false_positives"))
+    wrong = bloom.passing(bloom.every_pair(absent, params), bloom.set_bits(images, FPR), FPR).groupBy("seg").agg(F.count("*").alias("w"))
+    total = absent.agg(F.count_distinct("key").alias("probes"))
+    return params.select("seg").crossJoin(F.broadcast(total)).join(wrong, "seg", "left").select("seg", "probes", F.coalesce("w", F.lit(0).cast("long")).alias("false_positives"))
 
 
 def bloom_no_false_negatives(spark, d):
+    """Each segment's own keys against its filter: (members, rejected)."""
     images = event_images(spark, d)
-    asked = images.select("key")
-    return _maybe(spark, d, asked).join(images.select("seg", "key"), ["seg", "key"]).agg(F.count("*").alias("members"), F.sum((~F.col("maybe")).cast("long")).alias("rejected"))
+    own = bloom.with_hashes(images.select("seg", "key")).join(bloom.parameters(images, FPR), "seg")
+    passed = bloom.passing(own, bloom.set_bits(images, FPR), FPR).agg(F.count("*").alias("p"))
+    return own.agg(F.count("*").alias("members")).crossJoin(F.broadcast(passed)).select("members", (F.col("members") - F.col("p")).alias("rejected"))
 
 
 def read_amplification(spark, d):
