@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import Staging
+
 WORDS = 5
 BLOCKS, BLOCK_BITS, SLACK = 9, 7, 2
 RADIUS = BLOCKS * (SLACK + 1) - 1
@@ -84,6 +86,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("_w")).where(F.size("_w") > 0)
     items = items.select("item_id", F.size("_w").alias("n"), _shingles(F.col("_w")).alias("item_shingles")).withColumn("k", F.size("item_shingles"))
     items = items.withColumn("item_fp", simhash(F.col("item_shingles"), F.col("k")))
+    items = Staging(docs.sparkSession, "benchmark").table(items, "items")  # read three times; as an expression it would be copied into each
     n_items, n_shingles, short = items.agg(F.count("*"), F.sum("k"), F.collect_set(F.when(F.col("n") < WORDS, F.col("n")))).first()
     n_items, n_shingles = n_items or 0, n_shingles or 0
     keys = items.select("n", "k", F.explode("item_shingles").alias("h")).distinct()
