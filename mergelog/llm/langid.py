@@ -4,8 +4,10 @@ A text's vector is the TF-IDF of its hashed byte bigrams and trigrams (letters l
 in A-Z, digits and ASCII signs folded to one space), with sublinear counts and unit
 length. Each language has several centroids, made by spherical k-means on a bounded sample of
 labelled rows (TRAIN_ROWS, the least hashes of their ids). A text gets the language of
-the centroid of largest cosine; it is rejected when that cosine lies below what the
-training texts of about its length show.
+the centroid of largest cosine; it is rejected when that cosine is less than FAR of what a
+text of its length shows. That is one curve over all lengths, fitted to the training texts
+and to a piece of each (a beginning of 4 to 8192 bytes), so that tables of all sizes have
+it for all lengths.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and
 rejected. Ties go to the lesser language name. Without any labelled row every text is
@@ -31,7 +33,10 @@ TRAIN_ROWS = 4000
 CENTROIDS = 4
 ROUNDS = 12
 SHARPNESS = 25.0
-LEAST_TRAINED = 40
+FAR = 0.37
+PIECES = 12
+#: Lengths in n-grams at which a curve has half of its square.
+TURNS = 2.0 ** np.arange(-2, 14, 0.25)
 MOST_ROWS = 512
 STEPS = 20
 
@@ -79,8 +84,15 @@ def unit_vectors(logs: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v
 
 
-def length_class(grams: np.ndarray) -> np.ndarray:
-    return np.log2(1 + grams).astype(np.int64)
+def expected_curve(grams: np.ndarray, cos: np.ndarray) -> tuple[float, float]:
+    """(height, turn) of the curve height / sqrt(1 + turn / n-grams) with the least absolute errors."""
+    grams = np.maximum(grams, 1)
+    fits = []
+    for turn in TURNS:
+        shape = 1 / np.sqrt(1 + turn / grams)
+        height = float(np.median(cos / shape))
+        fits.append((float(np.abs(cos - height * shape).sum()), height, float(turn)))
+    return min(fits)[1:]
 
 
 @dataclass
@@ -89,12 +101,17 @@ class Model:
     of: np.ndarray  # the language of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    least: np.ndarray  # by length class
+    height: float
+    turn: float
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(language number, score, cosine, rejected)."""
         own, score, top = self.compare(unit_vectors(np.log1p(counts), self.idf))
-        return own, score, top, top < self.least[length_class(counts.sum(axis=1))]
+        return own, score, top, top < self.least(counts.sum(axis=1))
+
+    def least(self, grams: np.ndarray) -> np.ndarray:
+        """The least cosine that isn't rejected, for texts of so many n-grams."""
+        return FAR * self.height / np.sqrt(1 + self.turn / np.maximum(grams, 1))
 
     def compare(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cos = v @ self.centroids.T
@@ -122,23 +139,36 @@ def _clusters(v: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def _beginnings(texts: pa.Array) -> pa.Array:
+    """A beginning of each text, of a length that its bytes choose; null where the text is no longer."""
+    out = []
+    for text in texts:
+        raw = text.as_py().encode()
+        most = 4 << zlib.crc32(raw) % PIECES
+        out.append(raw[:most] if len(raw) > most else None)
+    return pa.array(out, pa.binary())
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, n-grams, log1p of counts in steps of 1 / STEPS, a byte each): what a training text sends to the driver."""
+    """(lang, n-grams, log1p of counts in steps of 1 / STEPS, a byte each): what a training text sends to the driver, and its piece without the lang."""
     for batch in batches:
-        langs = column(batch, "_lang")
-        for first, counts, letters in gram_counts(column(batch, "_text")):
-            raw = [np.minimum(np.rint(np.log1p(c) * STEPS), 255).astype(np.uint8).tobytes() for c in counts[letters]]
-            sizes = pa.array(counts[letters].sum(axis=1).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([langs.slice(first, len(letters)).filter(pa.array(letters)), sizes, pa.array(raw, pa.binary())], names=["lang", "grams", "logs"])
+        langs, texts = column(batch, "_lang"), column(batch, "_text")
+        pieces = _beginnings(texts).drop_null()
+        for some, names in ((texts, langs), (pieces, pa.nulls(len(pieces), pa.string()))):
+            for first, counts, letters in gram_counts(some):
+                raw = [np.minimum(np.rint(np.log1p(c) * STEPS), 255).astype(np.uint8).tobytes() for c in counts[letters]]
+                sizes = pa.array(counts[letters].sum(axis=1).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([names.slice(first, len(letters)).filter(pa.array(letters)), sizes, pa.array(raw, pa.binary())], names=["lang", "grams", "logs"])
 
 
 def fit(docs: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from at most train_rows labelled rows where `trains` holds; what comes to the driver is a vector for each."""
+    """A model from at most train_rows labelled rows where `trains` holds; what comes to the driver is a vector for each and one for its piece."""
     base = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), trains.alias("_t")).where(F.col("_t") & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     ids = base.where(F.col("_d").isNotNull()).select(F.col("_d").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows).distinct()
     rows = base.join(F.broadcast(ids), F.col("_d") == F.col("_id")).select("_lang", "_text")
     got = rows.mapInArrow(_vectors, "lang string, grams long, logs binary").toArrow()
-    n = got.num_rows
+    own = np.array(got.column("lang").is_valid())
+    n = int(own.sum())
     if not n:
         return None
     langs, grams = np.array(got.column("lang").to_pylist(), dtype=object).astype(str), got.column("grams").to_numpy()
@@ -146,21 +176,18 @@ def fit(docs: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, centroids
     del got
     key = np.array([zlib.crc32(row) for row in logs])
     order = np.lexsort((key, grams, langs))  # rows may come in any order
-    names = sorted(set(langs))
-    idf = (np.log((1 + n) / (1 + np.count_nonzero(logs, axis=0))) + 1).astype(np.float32)
+    order = order[own[order]]
+    names = sorted(set(langs[own]))
+    within = sum(np.count_nonzero(logs[order[k : k + MOST_ROWS]], axis=0) for k in range(0, n, MOST_ROWS))
+    idf = (np.log((1 + n) / (1 + within)) + 1).astype(np.float32)
 
     def vectors(rows: np.ndarray) -> np.ndarray:
         return unit_vectors(logs[rows].astype(np.float32) / np.float32(STEPS), idf)
 
     parts = [_clusters(vectors(order[langs[order] == name]), centroids) for name in names]
-    model = Model(names, np.repeat(np.arange(len(names)), [len(p) for p in parts]), np.concatenate(parts).astype(np.float32), idf, np.full(64, -1.0))
-    cos = np.concatenate([model.compare(vectors(np.arange(k, min(k + MOST_ROWS, n))))[2] for k in range(0, n, MOST_ROWS)])
-    sizes = length_class(grams)
-    for k in np.unique(sizes):
-        own = cos[sizes == k]
-        if len(own) >= LEAST_TRAINED:
-            mid = np.median(own)
-            model.least[k] = min(np.quantile(own, 0.002) - 0.1, mid - 8 * 1.4826 * np.median(np.abs(own - mid)), 0.6 * mid)
+    model = Model(names, np.repeat(np.arange(len(names)), [len(p) for p in parts]), np.concatenate(parts).astype(np.float32), idf, 0.0, 1.0)
+    cos = np.concatenate([model.compare(vectors(np.arange(k, min(k + MOST_ROWS, len(logs)))))[2] for k in range(0, len(logs), MOST_ROWS)])
+    model.height, model.turn = expected_curve(grams, cos)
     return model
 
 
