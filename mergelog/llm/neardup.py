@@ -6,11 +6,16 @@ words has its whole sequence as the one shingle. One hash of each shingle picks
 mantissa bits, 16 bits in all. Empty registers are filled from others in an order that
 depends only on which are empty, so equal registers stay as likely as sets are alike.
 
-Candidates share a band: four compressed registers that are all equal (32 bands; a pair
-at 0.75 is missed with a probability of 5e-6). A pair's registers then estimate its
-similarity, corrected for chance collisions of compressed registers; only pairs far
-below the threshold (five standard deviations) are dropped. The rest are confirmed on
-full sets of 64-bit shingle hashes.
+Candidates share a band: four compressed registers that are all equal (32 bands). A
+pair's registers then estimate its similarity, corrected for chance collisions of
+compressed registers; only pairs far below the threshold (five standard deviations, as
+measured at SMALL shingles) are dropped. The rest are confirmed on full sets of 64-bit
+shingle hashes.
+
+Sets of fewer than SMALL shingles fill too few registers for that. Their candidates, of
+any size, share one of the least shingle hashes of both: of n hashes in order all but
+the last ceil(0.75 n) - 1. Every pair at 0.75 does, so none is missed, and no estimate
+is made of them.
 
 Documents of equal sets are one class; only its least id is compared. In a band, members
 are linked to the least first. Bands whose members then still lie in several components
@@ -45,6 +50,11 @@ MANTISSA = 10
 ROWS = 4
 BANDS = BUCKETS // ROWS
 SIGMAS = 5
+#: Sets of fewer shingles are compared by exact hashes; a set alike has at most SMALL_PARTNER.
+SMALL = 32
+SMALL_PARTNER = (SMALL - 1) * DENOMINATOR // NUMERATOR
+#: The measured deviation of equal registers is at most this, in binomial ones, from SMALL shingles on.
+SPREAD = 1.15
 BLOCK_ROWS = 1024
 #: Fixed odd multipliers of a shingle's words.
 PLACE = (ODD * (2 * np.arange(1, WORDS + 1, dtype=np.uint64) + np.uint64(1))) | np.uint64(1)
@@ -95,24 +105,35 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return reg
 
 
+def exact_keys(hashes: np.ndarray) -> np.ndarray:
+    """The hashes of a sorted small set of which each set alike has one among its own; equal sets need none."""
+    n = len(hashes)
+    if DENOMINATOR * n < NUMERATOR * (n + 1):
+        return hashes[:0]  # one or two shingles: alike is equal
+    return hashes[: n + NUMERATOR * n // -DENOMINATOR + 1]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mask = (1 << 63) - 1
     for batch in batches:
         ids, texts = column(batch, "_id"), column(batch, "_text")
         n = len(ids)
-        sizes, one, two, regs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
+        sizes, one, two, regs, keys = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n, [None] * n
         for row, s in shingle_sets(texts):
             sizes[row] = len(s)
             if len(s):
                 one[row] = int(s.sum(dtype=np.uint64)) & mask
                 two[row] = int(mix(s ^ ODD).sum(dtype=np.uint64)) & mask
                 regs[row] = registers(s).tobytes()
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(one), pa.array(two), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "sum_1", "sum_2", "regs"])
+                if len(s) <= SMALL_PARTNER:
+                    keys[row] = exact_keys(s).view(np.int64)
+        columns = [ids, pa.array(sizes), pa.array(one), pa.array(two), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "sum_1", "sum_2", "regs", "keys"])
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, two sums that tell equal sets, regs)."""
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_sketch, "doc_id long, n_shingles long, sum_1 long, sum_2 long, regs binary")
+    """(doc_id, n_shingles, two sums that tell equal sets, regs, exact keys of small sets)."""
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_sketch, "doc_id long, n_shingles long, sum_1 long, sum_2 long, regs binary, keys array<long>")
 
 
 @lru_cache(4096)
@@ -128,8 +149,8 @@ def chance(log_n: int, log_m: int) -> float:
     return total
 
 
-def least_equal(threshold: float = NUMERATOR / DENOMINATOR, sigmas: float = SIGMAS) -> int:
-    """The least number of equal registers that a pair at the threshold has but for that many standard deviations.
+def least_equal(threshold: float = NUMERATOR / DENOMINATOR, sigmas: float = SIGMAS * SPREAD) -> int:
+    """The least number of equal registers that a pair at the threshold has but for that many binomial deviations.
 
     A pair's corrected estimate is (equal / 128 - c) / (1 - c), c the chance of equal
     registers of disjoint sets. c is largest for small sets; taking the least c makes
@@ -182,8 +203,26 @@ def _unit(table: pa.Table) -> pa.Table:
     least, low, high = least_equal(), blocks.min(), blocks.max()
     right = np.flatnonzero(blocks == high)
     found: list[tuple[int, int]] = []
+    # an index from hashes to the right block's small sets and their partners
+    held = right[sizes[right] <= SMALL_PARTNER]
+    hashes, holder = np.concatenate([sets[y] for y in held] or [sets[0][:0]]), np.repeat(held, sizes[held])
+    order = np.argsort(hashes)
+    hashes, holder = hashes[order], holder[order]
     for x in np.flatnonzero(blocks == low):
+        if sizes[x] <= SMALL_PARTNER:
+            at, end = np.searchsorted(hashes, sets[x]), np.searchsorted(hashes, sets[x], "right")
+            shared = np.bincount(np.concatenate([holder[a:b] for a, b in zip(at, end)]), minlength=len(sets))
+            alike = DENOMINATOR * shared >= NUMERATOR * (sizes + sizes[x] - shared)
+            if low == high:
+                alike[: x + 1] = False
+            for y in np.flatnonzero(alike).tolist():
+                if root[own[y]] != root[own[x]]:
+                    found.append((int(reps[x]), int(reps[y])))
+                    root[root == root[own[y]]] = root[own[x]]
+        if sizes[x] < SMALL:
+            continue
         other = right[right > x] if low == high else right
+        other = other[sizes[other] >= SMALL]
         other = other[root[own[other]] != root[own[x]]]
         other = other[DENOMINATOR * np.minimum(sizes[other], sizes[x]) >= NUMERATOR * np.maximum(sizes[other], sizes[x])]
         if not len(other):
@@ -224,20 +263,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     staging = Staging(spark, "neardup")
     sk = staging.table(sketches(df, id_col, text_col), "sketch")
-    classes = staging.table(sk.where("n_shingles > 0").groupBy("sum_1", "sum_2", "n_shingles").agg(F.min_by("regs", "doc_id").alias("regs"), F.min("doc_id").alias("rep")), "classes")
-    bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-    rows = staging.table(classes.select("rep", bands.alias("_band", "key")).select("key", "rep"), "bands")
+    classes = staging.table(sk.where("n_shingles > 0").groupBy("sum_1", "sum_2", "n_shingles").agg(F.min_by("regs", "doc_id").alias("regs"), F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep")), "classes")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    none = F.array().cast("array<long>")
+    exact = F.transform("keys", lambda h: F.xxhash64(F.lit(BANDS), h))
+    every = F.concat(F.when(F.col("n_shingles") >= SMALL, bands).otherwise(none), F.coalesce(exact, none))
+    rows = staging.table(classes.select(F.explode(every).alias("key"), "rep"), "bands")
     shared = staging.table(rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "shared")
     members = staging.table(rows.join(shared, "key"), "members")  # only bands of two or more
     staging.drop("bands", "shared")
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    reg = classes.select("rep", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.conv(F.hex(F.substring(F.col("regs"), i * 2 + 1, F.lit(2))), 16, 10).cast("int")).alias("r"))
+    reg = classes.select("rep", "n_shingles", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.conv(F.hex(F.substring(F.col("regs"), i * 2 + 1, F.lit(2))), 16, 10).cast("int")).alias("r"))
     least = least_equal()
 
     def likely(pairs: DataFrame) -> DataFrame:
-        one = reg.select(F.col("rep").alias("_x"), F.col("r").alias("_p"))
-        two = reg.select(F.col("rep").alias("_y"), F.col("r").alias("_q"))
-        return pairs.join(one, F.col("a") == F.col("_x")).join(two, F.col("b") == F.col("_y")).where(_equal("_p", "_q") >= least).select("a", "b")
+        one = reg.select(F.col("rep").alias("_x"), F.col("n_shingles").alias("_n"), F.col("r").alias("_p"))
+        two = reg.select(F.col("rep").alias("_y"), F.col("n_shingles").alias("_m"), F.col("r").alias("_q"))
+        near = DENOMINATOR * F.least("_n", "_m") >= NUMERATOR * F.greatest("_n", "_m")
+        some = near & ((F.least("_n", "_m") < SMALL) | (_equal("_p", "_q") >= least))
+        return pairs.join(one, F.col("a") == F.col("_x")).join(two, F.col("b") == F.col("_y")).where(some).select("a", "b")
 
     stars = staging.table(likely(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "stars")
     links = staging.table(_verified(stars, texts), "links-1")
