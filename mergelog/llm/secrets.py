@@ -36,8 +36,9 @@ KEYS = re.compile(
     r"""\b(?:(user(?:name)?|login|account|client_?id|access_?(?:key_?)?id)|(pass|pwd|pw|auth|credential|signing_?key|private_?key|bearer)|(host|server|endpoint)|(https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp))["']?\x20{0,4}\Z""",
     re.IGNORECASE | re.ASCII,
 )
-VALUES = {3: re.compile(r"""\x20{0,4}["']?[A-Za-z0-9@._-]{3,64}"""), 4: re.compile(r"""\x20{0,4}["']?[^\s"',;]{4,128}"""), 5: re.compile(r"""\x20{0,4}["']?[A-Za-z0-9.-]{3,253}""")}
-URL = re.compile(r"""//[^\s"'<>]{3,256}""")
+LEAD = re.compile(r"""\x20{0,4}["']?""")
+#: By kind (6: what follows a URL's //) the signs of a value, and its least length; it goes on as far as they do.
+VALUES = {3: (re.compile(r"[A-Za-z0-9@._-]*"), 3), 4: (re.compile(r"""[^\s"',;]*"""), 4), 5: (re.compile(r"[A-Za-z0-9.-]*"), 3), 6: (re.compile(r"""[^\s"'<>]*"""), 3)}
 KEY_WIDTH = 24
 
 #: Kinds that complement each other.
@@ -59,14 +60,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _parts(text: str) -> list[tuple[int, int, int]]:
     found = []
+    ends = dict.fromkeys(VALUES, 0)  # of the last run of a kind's signs: what starts within it ends with it, and isn't read again
     for sign in SIGN.finditer(text):
         at = sign.start()
         key = KEYS.search(text, max(0, at - KEY_WIDTH), at)
         if key:
             kind = 2 + key.lastindex
-            value = URL.match(text, at + 1) if kind == 6 else VALUES[kind].match(text, at + 1)
-            if value:
-                found.append((key.start(), min(kind, 5), value.end()))
+            if kind == 6 and not text.startswith("//", at + 1):
+                continue
+            start = at + 3 if kind == 6 else LEAD.match(text, at + 1).end()
+            signs, least = VALUES[kind]
+            if start >= ends[kind]:
+                ends[kind] = signs.match(text, start).end()
+            if ends[kind] - start >= least:
+                found.append((key.start(), min(kind, 5), ends[kind]))
     return found
 
 
