@@ -14,7 +14,8 @@ Equal vectors are one node: its copies (at most k + 1, the least ids) come back
 merge, which is exact because ties go to the lesser id.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
-take no part, nor do vectors of another length than that of the least id's vector. With
+take no part, nor do vectors of another length than the most frequent (of equally
+frequent ones the least). With
 fewer candidates than k all are returned. An empty table gives no rows. Of repeated ids
 with equal vectors one counts.
 """
@@ -184,9 +185,10 @@ def nearest(df: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_co
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-    dims = rows.select(F.min_by(F.size("v"), "vec_id")).first()[0]
-    if dims is None:
+    most = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
+    if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dims = most["dims"]
     rows = rows.where(F.size("v") == dims).distinct()
     classes = staging.table(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     shards = max(1, -(-classes.count() // SHARD_ROWS))
