@@ -5,8 +5,10 @@ space before a non-space always starts a pre-token, as a lone line feed between
 non-spaces is one. So texts are cut before such spaces and line feeds, a slice of texts
 is reduced to its distinct pieces, the library encodes these, and their ids are put in
 the pieces' places by array operations. Pieces of letters, or of letters and signs, are
-cut into their pre-tokens here and go to the library's model in its byte alphabet. Texts with other runs of white space go to the
-library whole.
+cut into their pre-tokens here and go to the library's model in its byte alphabet. Texts
+with other runs of white space go to the library whole. Added tokens written in a text
+(as <|endoftext|>) get their own id, as the plain library call gives it; none has white
+space, so they lie within pieces.
 """
 
 from __future__ import annotations
@@ -86,10 +88,11 @@ class Encoder:
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # the same model behind a split at spaces alone, for texts that are cut into pre-tokens and written in its alphabet already
         self.cut = Tokenizer(self.tokenizer.model)
         self.cut.pre_tokenizer = CharDelimiterSplit(" ")
+        if any(set(t.content) & set(" \n") or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("an added token reaches over white space")
         size = self.tokenizer.get_vocab_size()
         if size > 65536:
             raise ValueError("ids need more than 16 bits")
