@@ -1,20 +1,23 @@
 """Chat formatting: records of unlike layouts become canonical turns, then one marked-up text with a loss mask.
 
 A record is a variant (parsed JSON, or a row turned into one). Its fingerprint is a hash
-of its sorted nested field paths, arrays' elements under `[]`. A declarative table maps
-each layout's paths to where turns, roles and texts lie; the table is applied by
-fingerprint, so a new layout is a new row, not new code. Optional paths of a layout give
-it several fingerprints.
+of its nested field paths, at all depths and over all elements of all arrays; only the
+variant's own types count, never what a string looks like. A declarative table maps each
+layout's paths to where turns, roles and texts lie; the table is applied by fingerprint,
+so a new layout is a new row, not new code. Optional paths of a layout give it several
+fingerprints. Elements of a layout's list must each have the layout's paths, too.
 
 The template marks turns as <s>[ROLE]role[/ROLE]text</s>. Inside roles and texts a
 backslash is doubled and a backslash is put after the first sign of each control
 string, so no control string is left and the way back is one rule: a backslash and a
 character stand for the character.
 
-Defined results: a null text or role is empty; rows of a conversation are ordered by
-turn, then role and text; repeated rows are repeated turns; records of unknown layouts
-are returned by `unknown_layouts`, never guessed at. An empty table gives no
-conversations. Other columns of the table don't matter.
+Defined results: a null text or role is empty, a null turn is 0; rows of a conversation
+are ordered by turn, then role and text; repeated rows are repeated turns. Every row of a
+table by turn is a turn with its role as it is, whatever its text looks like. Records of
+unknown layouts, of lists whose elements differ, and of empty lists are returned by
+`unknown_layouts`, never guessed at. An empty table gives no conversations. Other
+columns of the table don't matter.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ from .staging import Staging
 OPEN, CLOSE, ROLE, ROLE_END = "<s>", "</s>", "[ROLE]", "[/ROLE]"
 CONTROLS = (OPEN, CLOSE, ROLE, ROLE_END, "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 ESCAPE = "\\"
-LOSS_ROLES = ("assistant", "gpt", "bot", "model")
+LOSS_ROLES = ("assistant",)
 
-# Other names of the canonical roles.
+# Other names of the canonical roles, in records that aren't rows by turn.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -43,43 +46,59 @@ class Layout:
     """Where a layout keeps its turns: one list of them, or one path for each role."""
 
     name: str
-    required: tuple[str, ...]
+    required: tuple[str, ...]  # paths to leaves; [] stands for an array's elements
     optional: tuple[str, ...] = ()
     turns: str = ""  # path of the list
     role: str = ""  # within an element
     text: str = ""
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()  # (role, paths joined by a line feed)
+    renames: bool = True  # other names of roles become the canonical ones
 
-    def fingerprints(self) -> list[str]:
+    def shapes(self) -> list[str]:
         some = chain.from_iterable(combinations(self.optional, k) for k in range(len(self.optional) + 1))
-        return [path_key([*self.required, *more]) for more in some]
+        return [shape_of([*self.required, *more]) for more in some]
 
+    def element(self) -> str:
+        """The shape of one element of the list."""
+        return shape_of([self.role.removeprefix("$."), self.text.removeprefix("$.")])
 
-def path_key(paths: list[str]) -> str:
-    return "|".join(sorted(paths))
+
+def shape_of(paths: list[str]) -> str:
+    """Nested field paths in the form that _shape gives."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for part in path.split("."):
+            at = at.setdefault(part, {})
+
+    def form(node: dict) -> str:
+        kinds = {k.removesuffix("[]"): (": ARRAY<" + form(v) + ">" if k.endswith("[]") else ": " + form(v)) if v else "" for k, v in node.items()}
+        return "OBJECT<" + ", ".join(k + kinds[k] for k in sorted(kinds)) + ">"
+
+    return form(tree)
 
 
 # Known layouts.
 LAYOUTS = (
-    Layout("row", ("conv_id", "turn", "role", "text"), role="$.role", text="$.text"),
-    Layout("messages", ("conv_id", "messages", "messages[].role", "messages[].content"), turns="$.messages", role="$.role", text="$.content"),
-    Layout("conversations", ("conv_id", "conversations", "conversations[].from", "conversations[].value"), turns="$.conversations", role="$.from", text="$.value"),
+    Layout("row", ("conv_id", "turn", "role", "text"), role="$.role", text="$.text", renames=False),
+    Layout("messages", ("conv_id", "messages[].role", "messages[].content"), turns="$.messages", role="$.role", text="$.content"),
+    Layout("conversations", ("conv_id", "conversations[].from", "conversations[].value"), turns="$.conversations", role="$.from", text="$.value"),
+    Layout("thread", ("conv_id", "thread.messages[].author.role", "thread.messages[].content.text"), turns="$.thread.messages", role="$.author.role", text="$.content.text"),
     Layout("instruction", ("conv_id", "instruction", "output"), ("input", "system"), fields=(("system", ("$.system",)), ("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
+    Layout("context", ("conv_id", "instruction", "response"), ("context",), fields=(("user", ("$.instruction", "$.context")), ("assistant", ("$.response",)))),
     Layout("prompt", ("conv_id", "prompt", "completion"), ("system",), fields=(("system", ("$.system",)), ("user", ("$.prompt",)), ("assistant", ("$.completion",)))),
     Layout("response", ("conv_id", "prompt", "response"), ("system",), fields=(("system", ("$.system",)), ("user", ("$.prompt",)), ("assistant", ("$.response",)))),
 )
 
 
-def fingerprint(record: Column) -> Column:
-    """A hash of the record's nested field paths, to two levels, in sorted order."""
-    top = F.from_json(F.to_json(record), "map<string,string>")
+def _shape(record: Column) -> Column:
+    """The record's nested field paths, sorted: its schema, merged over all elements, without the types of leaves."""
+    return F.regexp_replace(F.schema_of_variant(record), r": [A-Z_]+(\(\d+,\d+\))?(?=[,>])", "")
 
-    def inner(key: Column, value: Column) -> Column:
-        first = F.from_json(F.get_json_object(value, "$[0]"), "map<string,string>")
-        return F.when(value.startswith("["), F.transform(F.map_keys(first), lambda k: F.concat(key, F.lit("[]."), k)))
 
-    nested = F.flatten(F.transform(F.map_entries(top), lambda e: F.coalesce(inner(e["key"], e["value"]), F.array().cast("array<string>"))))
-    return F.xxhash64(F.array_join(F.array_sort(F.concat(F.map_keys(top), nested)), "|"))
+def fingerprint(record: Column) -> Column:
+    """A hash of the record's nested field paths."""
+    return F.xxhash64(_shape(record))
 
 
 def _string(path: str, record: Column) -> Column:
@@ -104,30 +123,33 @@ def _turns(layout: Layout, record: Column) -> Column:
 def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame:
     """(conv_id, turn, role, text) from variants; the mapping is chosen by fingerprint, for each record."""
     marked = records.select(F.col(record_col).alias("_r"), fingerprint(F.col(record_col)).alias("_f"))
-    chosen = None
+    named = F.create_map(*chain.from_iterable((F.lit(a), F.lit(b)) for a, b in ROLES.items()))
+    chosen = F
     for layout in LAYOUTS:
-        known = _is(layout)
-        chosen = F.when(known, _turns(layout, F.col("_r"))) if chosen is None else chosen.when(known, _turns(layout, F.col("_r")))
+        turns = _turns(layout, F.col("_r"))
+        if layout.renames:
+            turns = F.transform(turns, lambda t: t.withField("role", F.coalesce(F.try_element_at(named, F.coalesce(t["role"], F.lit(""))), t["role"])))
+        chosen = chosen.when(_is(layout), turns)
     rows = marked.select(F.try_variant_get("_r", "$.conv_id", "long").alias("conv_id"), F.explode(chosen).alias("_t"))
-    role = F.coalesce("_t.role", F.lit(""))
-    named = F.create_map(*chain.from_iterable((F.lit(a), F.lit(b)) for a, b in ROLES.items()))
-    return rows.select("conv_id", F.col("_t.turn").alias("turn"), F.coalesce(F.try_element_at(named, role), role).alias("role"), F.coalesce("_t.text", F.lit("")).alias("text"))
+    return rows.select("conv_id", F.col("_t.turn").alias("turn"), F.coalesce("_t.role", F.lit("")).alias("role"), F.coalesce("_t.text", F.lit("")).alias("text"))
 
 
 def _is(layout: Layout) -> Column:
-    out = F.lit(False)
-    for key in layout.fingerprints():
-        out = out | (F.col("_f") == F.xxhash64(F.lit(key)))
+    """Whether a record (_r, with its fingerprint _f) has the layout, with each element of its list."""
+    out = F.col("_f").isin(*(F.xxhash64(F.lit(s)) for s in layout.shapes()))
+    if layout.turns:
+        every = F.try_variant_get("_r", layout.turns, "array<variant>")
+        out = out & F.coalesce(F.forall(every, lambda m: fingerprint(m) == F.xxhash64(F.lit(layout.element()))), F.lit(False))
     return out
 
 
 def unknown_layouts(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """The records whose fingerprint no layout has."""
-    marked = records.select("*", fingerprint(F.col(record_col)).alias("_f"))
+    """The records that no layout maps."""
+    marked = records.select("*", F.col(record_col).alias("_r"), fingerprint(F.col(record_col)).alias("_f"))
     known = F.lit(False)
     for layout in LAYOUTS:
-        known = known | _is(layout)
-    return marked.where(~known).drop("_f")
+        known = known | F.coalesce(_is(layout), F.lit(False))
+    return marked.where(~known).drop("_r", "_f")
 
 
 def rows_as_records(rows: DataFrame) -> DataFrame:

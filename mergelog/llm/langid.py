@@ -213,7 +213,7 @@ def identify(docs: DataFrame, model: Model | None, held_out: Column, id_col: str
             langs, scores, rejected = _judge(model, column(batch, "_text"))
             yield pa.RecordBatch.from_arrays([column(batch, "_id"), column(batch, "_held"), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(id_col).alias("_id"), held_out.alias("_held"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col(id_col).cast("long").alias("_id"), held_out.alias("_held"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -133,7 +133,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, two sums that tell equal sets, regs, exact keys of small sets)."""
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_sketch, "doc_id long, n_shingles long, sum_1 long, sum_2 long, regs binary, keys array<long>")
+    return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_sketch, "doc_id long, n_shingles long, sum_1 long, sum_2 long, regs binary, keys array<long>")
 
 
 @lru_cache(4096)

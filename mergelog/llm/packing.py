@@ -211,7 +211,7 @@ def _pieces(path: str, capacity: int):
 
 def token_pieces(df: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) for every document."""
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_pieces(tokenizer or default_tokenizer_path(), capacity), PIECES)
+    return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_pieces(tokenizer or default_tokenizer_path(), capacity), PIECES)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, rank_rows: int = RANK_ROWS) -> DataFrame:

@@ -133,7 +133,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     No shuffle: each text is read where it lies, whole, and only its spans leave.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_scan, schema)
+    return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_scan, schema)
 
 
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

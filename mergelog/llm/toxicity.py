@@ -164,7 +164,7 @@ def _rate(scores: np.ndarray, share: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most train_rows labelled rows where `trains` (over `_id`) holds."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_toxic")).where(F.col("_toxic").isNotNull() & F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_toxic")).where(F.col("_toxic").isNotNull() & F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     ids = known.where(trains).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text")).join(F.broadcast(ids), F.col("_d") == F.col("_id")).select("_text", "_toxic")
     counts = rows.mapInArrow(_count, "token long, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
@@ -217,4 +217,4 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
             p = model.score(best, total)
             yield pa.RecordBatch.from_arrays([column(batch, "_id"), column(batch, "_held"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(spans, pa.string())], names=["doc_id", "held_out", "score", "predicted", "passages"])
 
-    return docs.select(F.col(id_col).alias("_id"), held_out.alias("_held"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, passages string")
+    return docs.select(F.col(id_col).cast("long").alias("_id"), held_out.alias("_held"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, passages string")
