@@ -5,35 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import salted_join
 from .staging import Staging
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-
-
 def components(edges: DataFrame, staging: Staging, label: str = "cc") -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the least node reachable.
 
-    Each step rewires a node's neighbours to the least of them; a node with many
-    neighbours is first summed up map-side (min), and the join that follows can be split
-    by adaptive execution. Tables are written at each step, so lineage stays short. The
-    loop ends when a step changes nothing, which a count and a sum of hashes tell.
+    Each step rewires a node's neighbours to the least of them. Least neighbours are
+    summed up map-side (min), and the join that gives them back to the edges salts nodes
+    with many of them, so a star of any size is many tasks. Tables are written at each
+    step, so lineage stays short. The loop ends when a step changes nothing, which a
+    count and sums of hashes tell.
     """
     now = staging.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
     mark, k = None, 0
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: greater neighbours of u go to the least of u's neighbourhood
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = salted_join(both, both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = staging.table(large, f"{label}-large-{k}")
         # small star: lesser neighbours of u, and u, go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x")), F.struct(F.col("v").alias("x")))).alias("e"), "m").select(F.col("e.x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        k += 1
-        then = staging.table(small, f"{label}-{k}")
+        met = salted_join(large, large.groupBy("u").agg(F.min("v").alias("m")), ["u"])
+        small = met.select(F.explode(F.array(F.struct(F.col("u").alias("x")), F.struct(F.col("v").alias("x")))).alias("e"), "m").select(F.col("e.x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        then = staging.table(small, f"{label}-{k + 1}")
         total = then.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum((F.xxhash64("u", "v") % 1000003).cast("long"))).first()
-        staging.drop(f"{label}-{k - 1}")
-        now = then
+        staging.drop(f"{label}-{k}", f"{label}-large-{k}")
+        now, k = then, k + 1
         if tuple(total) == mark:
             break
         mark = tuple(total)
