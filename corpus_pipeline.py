@@ -2,10 +2,11 @@
 
 1. language ID: rows that the nearest-centroid model rejects go (no letters, or far from
    every language for their length); a null text goes.
-2. MinHash near-dedup: of each group of near-duplicates the least doc_id stays. Rows
-   without a doc_id, and of rows that share one all but the first by text, take part as
-   if their ids were greater than all others: a repeated row goes, an unlike one stays.
-3. benchmark decontamination: documents with a window like a benchmark item go.
+2. MinHash near-dedup: of each group of near-duplicates the least doc_id stays; of rows
+   that share an id the first by text. Rows without a doc_id come after all others. So a
+   repeated row goes, an unlike one stays.
+3. benchmark decontamination: documents with a window like a benchmark item go, each row
+   judged on its own text, with an id or without.
 4. secret scans: found spans are replaced by their kind; n_chars follows the text.
 5. best-fit packing: the placements of all token pieces.
 
@@ -14,7 +15,7 @@ All but the last return the columns of documents. An empty table passes through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergelog.llm import langid
@@ -22,6 +23,7 @@ from mergelog.llm.decontaminate import contaminated_pairs
 from mergelog.llm.neardup import near_duplicates
 from mergelog.llm.packing import pack_documents
 from mergelog.llm.secrets import mask_secrets
+from mergelog.llm.skew import row_numbers
 from mergelog.llm.staging import Staging, read_table
 
 
@@ -29,39 +31,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, langid.fit(docs, F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
 
 
-def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a _row of its own for each row: the doc_id, or a number after all ids."""
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    staging = Staging(spark, "row-keys")
-    again = staging.table(again, "again")
-    if again.isEmpty() and docs.where("doc_id IS NULL").isEmpty():
-        return docs.withColumn("_row", F.col("doc_id"))
-    first = Window.partitionBy("doc_id").orderBy("text")
-    shared = docs.join(again, "doc_id", "left_semi").select(docs.columns).withColumn("_first", F.row_number().over(first) == 1)
-    odd = shared.unionByName(docs.where("doc_id IS NULL").withColumn("_first", F.lit(False)))
-    odd = staging.table(odd.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("_at", F.monotonically_increasing_id()), "odd")
-    # numbers without gaps, so that they fit behind any ids: the part's start and the place in it
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    start = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0).cast("long"))).first()[0] + 1
-    starts = []
-    for k, n in sorted(tuple(x) for x in odd.groupBy(part.alias("_part")).agg(F.max(place)).collect()):
-        starts.append((k, start))
-        start += n + 1
-    numbered = odd.join(F.broadcast(spark.createDataFrame(starts, "_part long, _start long")), part == F.col("_part"))
-    numbered = numbered.select(*docs.columns, F.when(F.col("_first"), F.col("doc_id")).otherwise(F.col("_start") + place).alias("_row"))
-    single = docs.where("doc_id IS NOT NULL").join(again, "doc_id", "left_anti").select(docs.columns)
-    return single.withColumn("_row", F.col("doc_id")).unionByName(numbered)
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(spark, docs)
-    kept = near_duplicates(keyed, "_row").where("kept").select(F.col("doc_id").alias("_row"))
-    return keyed.join(kept, "_row", "left_semi").select(docs.columns)
+    keyed, number, _ = row_numbers(docs, Staging(spark, "near-dedup"))
+    kept = near_duplicates(keyed, number).where("kept").select(F.col("doc_id").alias(number))
+    return keyed.join(kept, number, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaked = contaminated_pairs(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    keyed, number, _ = row_numbers(docs, Staging(spark, "decontamination"))
+    leaked = contaminated_pairs(keyed, read_table(spark, sf_dir, "benchmark"), number).select(F.col("doc_id").alias(number)).distinct()
+    return keyed.join(leaked, number, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
