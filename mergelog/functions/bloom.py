@@ -64,13 +64,15 @@ def every_pair(probes: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def passing(pairs: DataFrame, bits: DataFrame, fpr: float, by: str = "seg") -> DataFrame:
-    """The (seg, key) of pairs (with h1, h2, bits) whose bits are all set.
+    """The (seg, key) of pairs (with h1, h2, bits) whose bits are all set, and all of segments that have no bits: no filter rejects nothing.
 
     Bit after bit, as a lookup would: half of the absent keys leave at each step, so the
     rows that are joined sum up to about twice the pairs, and nothing is grouped.
     """
     marks = bits.select(F.col(by).alias("_s"), F.col("bit").alias("_b"))
+    filtered = marks.select(F.col("_s").alias(by)).distinct()
+    free = pairs.join(filtered, by, "left_anti").select(by, "key")
     left = pairs
     for i in range(probe_count(fpr)):
         left = left.join(marks, (F.col(by) == F.col("_s")) & (bit_at(F.col("h1"), F.col("h2"), F.lit(i).cast("long"), F.col("bits")) == F.col("_b")), "left_semi")
-    return left.select(by, "key")
+    return left.select(by, "key").unionByName(free)

@@ -82,17 +82,18 @@ def read_amplification(probes: DataFrame, images: DataFrame, fpr: float, by: str
     A segment's block is read for a key unless the filter rejects it, the key lies before
     the segment's first one, or a newer segment has resolved it (a tombstone resolves too).
     """
-    firsts = images.groupBy(by).agg(F.min("key").alias("first_key"))
+    firsts = images.groupBy(by).agg(F.min("key").alias("first_key"), F.count("*").alias("n"))
+    params = firsts.select(by, "first_key", bloom.num_bits(F.col("n"), F.lit(fpr)).alias("bits"))
     keys = probes.select("key").distinct()
     holders = images.join(keys, "key", "left_semi").groupBy("key").agg(F.max(by).alias("newest"))  # greater segments are newer
-    params = bloom.parameters(images, fpr, by)
-    pairs = bloom.every_pair(keys, params)
+    asked = bloom.with_hashes(keys.join(holders, "key", "left"))
+    # a segment that can't hold the key, or is older than its holder, never meets it
+    near = (F.col("key") >= F.col("first_key")) & (F.col("newest").isNull() | (F.col(by) >= F.col("newest")))
+    pairs = asked.join(F.broadcast(params), near)  # one small row a segment
     kept = bloom.passing(pairs, bloom.set_bits(images, fpr, by), fpr, by)
-    asked = keys.agg(F.count("*").alias("probes"))
+    total = keys.agg(F.count("*").alias("probes"))
 
     def reads(some: DataFrame, filtered: bool) -> DataFrame:
-        near = some.select(by, "key").join(F.broadcast(firsts), by).where(F.col("key") >= F.col("first_key")).join(holders, "key", "left")
-        n = near.agg(F.count(F.when(F.col("newest").isNull() | (F.col(by) >= F.col("newest")), 1)).alias("blocks_read"))
-        return n.select(F.lit(filtered).alias("filtered"), "blocks_read")
+        return some.agg(F.count("*").alias("blocks_read")).select(F.lit(filtered).alias("filtered"), "blocks_read")
 
-    return reads(kept, True).unionByName(reads(pairs, False)).crossJoin(F.broadcast(asked))
+    return reads(kept, True).unionByName(reads(pairs, False)).crossJoin(F.broadcast(total))

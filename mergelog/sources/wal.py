@@ -1,7 +1,8 @@
 """The log's byte format: frames of length, checksum and payload.
 
 As relations (offsets, the good prefix) and as a Python data source `kvwal` that reads
-files frame by frame and stops at the first bad one.
+files frame by frame and stops at the first bad one. Paths may name any file system that
+pyarrow reaches (file, hdfs, s3, gs); a path without a scheme is local.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ MOST = (1 << 32) - 1
 
 
 def frames(mutations: DataFrame) -> DataFrame:
-    """(seq, payload_len, frame_len, crc)."""
+    """(seq, payload_len, frame_len, crc); a payload over 32-bit lengths is an error."""
     key, value = F.col("key"), F.col("value")
-    return mutations.select("seq", payload_length(key, value).alias("payload_len"), frame_length(key, value).alias("frame_len"), F.crc32(payload(F.col("tag"), key, value)).alias("crc"))
+    size = payload_length(key, value)
+    fits = F.when(size <= MOST, size).otherwise(F.raise_error(F.lit("a payload exceeds 32-bit lengths")).cast("long"))
+    return mutations.select("seq", fits.alias("payload_len"), frame_length(key, value).alias("frame_len"), F.crc32(payload(F.col("tag"), key, value)).alias("crc"))
 
 
 def offsets(framed: DataFrame, spans: int = 64) -> DataFrame:
@@ -89,6 +92,52 @@ def read_frames(raw: bytes) -> Iterator[tuple[int, int, bytes, bytes, int, int]]
         at, seq = at + 8 + size, seq + 1
 
 
+def file_at(path: str):
+    """(file system, path in it)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def read_file(path: str) -> bytes | None:
+    """A file's bytes, or None where there is none."""
+    where, name = file_at(path)
+    try:
+        with where.open_input_stream(name) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
+def write_file(path: str, raw: bytes) -> None:
+    """All or nothing: a temporary file that is moved to the name."""
+    where, name = file_at(path)
+    folder = name.rpartition("/")[0]
+    if folder:
+        where.create_dir(folder, recursive=True)
+    with where.open_output_stream(name + ".tmp") as f:
+        f.write(raw)
+    where.move(name + ".tmp", name)
+
+
+def recover_file(path: str) -> tuple[int, int]:
+    """Cuts a log behind its last good frame, so that what is appended can be read: (good frames, bytes cut). A missing log is empty."""
+    raw = read_file(path)
+    if raw is None:
+        return 0, 0
+    good = keep = 0
+    for frame in read_frames(raw):
+        good, keep = good + 1, frame[5]
+    if keep < len(raw):
+        write_file(path, raw[:keep])
+    return good, len(raw) - keep
+
+
+def append_file(path: str, mutations: list[tuple[int, bytes, bytes]]) -> None:
+    """Frames behind what a log holds."""
+    write_file(path, (read_file(path) or b"") + b"".join(encode_mutation(*x) for x in mutations))
+
+
 class KvWal(DataSource):
     """Reads log files (option path: a file or a comma-separated list), one partition each; writes one file a task."""
 
@@ -114,12 +163,7 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        try:
-            with open(partition.value, "rb") as f:
-                raw = f.read()
-        except FileNotFoundError:  # no log yet
-            return
-        yield from read_frames(raw)
+        yield from read_frames(read_file(partition.value) or b"")  # a missing log is empty
 
 
 class _Writer(DataSourceWriter):
@@ -127,19 +171,11 @@ class _Writer(DataSourceWriter):
         self.path, self.names = path, names
 
     def write(self, iterator) -> WriterCommitMessage:
-        import os
-
         from pyspark import TaskContext
 
         place = {n: self.names.index(n) for n in ("tag", "key", "value")}
-        part = os.path.join(self.path, f"wal-{TaskContext.get().partitionId():05d}.log")
-        os.makedirs(self.path, exist_ok=True)
-        with open(part + ".tmp", "wb") as f:
-            for row in iterator:
-                f.write(encode_mutation(row[place["tag"]], bytes(row[place["key"]]), bytes(row[place["value"]])))
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(part + ".tmp", part)
+        raw = b"".join(encode_mutation(row[place["tag"]], bytes(row[place["key"]]), bytes(row[place["value"]])) for row in iterator)
+        write_file(f"{self.path.rstrip('/')}/wal-{TaskContext.get().partitionId():05d}.log", raw)
         return WriterCommitMessage()
 
 

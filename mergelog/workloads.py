@@ -13,13 +13,14 @@ import json
 import math
 import os
 import platform
+import random
 import shutil
 import sys
 import tempfile
 import time
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergelog.functions.workload import bench_key, zipf_cdf, zipf_draw
@@ -65,6 +66,13 @@ def median_of_trials(trials: list[Summary]) -> Summary:
     return out
 
 
+def shuffled(i: Column, n: int, seed: int) -> Column:
+    """A permutation of 0 .. n - 1 (n below 2**32): each index comes once, at a place that the seed chooses; a step without a common factor with n."""
+    rng = random.Random(seed)
+    step = next(a for a in iter(lambda: rng.randrange(1, min(n, 1 << 31) + 1), 0) if math.gcd(a, n) == 1)
+    return F.pmod(i.cast("long") * F.lit(step).cast("long") + F.lit(rng.randrange(n)).cast("long"), F.lit(n).cast("long"))
+
+
 class Runner:
     def __init__(self, spark: SparkSession, args: argparse.Namespace):
         self.spark, self.args = spark, args
@@ -116,7 +124,7 @@ class Runner:
         def run(cut: tuple[int, int]) -> None:
             index = self._index(*cut)
             if not sequential:
-                index = index.withColumn("i", F.pmod(F.xxhash64("i", F.lit(self.args.seed)), F.lit(self.args.num_ops)))
+                index = index.withColumn("i", shuffled(F.col("i"), self.args.num_ops, self.args.seed))
             store.put(self._rows(index, "v"), "ord")
 
         took, _ = self._timed(self._cut(self.args.num_ops), run)
@@ -132,7 +140,7 @@ class Runner:
     def reads(self, trial: int, zipf: bool, store: Store, root: str) -> Summary:
         key = bench_key(F.col("i"), self.args.key_size).cast("binary").alias("key")
         asked = self._drawn(root, [self._asked(*cut, zipf).select(key) for cut in self._cut(self.args.num_ops)])
-        took, found = self._timed(asked, lambda df: df.join(store.multi_get(df).where("status = 'found'"), "key", "left_semi").count())
+        took, found = self._timed(asked, lambda df: store.read(df).where("status = 'found'").agg(F.count("value")).first()[0])
         if found != self.args.num_ops:
             raise RuntimeError(f"{self.args.num_ops - found} reads found nothing")
         return summarize("read-random-zipfian" if zipf else "read-random-uniform", trial, self.args.num_ops, took, found)
@@ -144,7 +152,7 @@ class Runner:
 
         def run(index: DataFrame) -> int:
             asked = index.where(coin).select(key)
-            found = asked.join(store.multi_get(asked).where("status = 'found'"), "key", "left_semi").count()
+            found = store.read(asked).where("status = 'found'").agg(F.count("value")).first()[0]
             store.put(self._rows(index.where(~coin), "w"), "ord")
             return found
 
