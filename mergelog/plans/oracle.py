@@ -64,6 +64,32 @@ MERGE = f"""WITH {EVENTS}, {DOUBLING}, pk AS (SELECT * FROM du WHERE length >= 4
 ZIPF = "zr AS (SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::BIGINT AS i FROM customer), zc AS (SELECT i, sum(1 / pow(i + 1, 0.99)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) / sum(1 / pow(i + 1, 0.99)) OVER () AS cdf FROM zr)"
 
 
+# A flush's memory depends on the keys since the last one: a recursion from cut to cut, each with its own running sum.
+FLUSH = f"""WITH RECURSIVE {EVENTS},
+  lg AS (SELECT seq, strlen(key) + strlen(value) + 48 AS fresh, strlen(value) - lag(strlen(value)) OVER w AS change, lag(seq) OVER w AS before FROM ev WINDOW w AS (PARTITION BY key ORDER BY seq)),
+  cut(seg, first, last) AS (SELECT 0::BIGINT, 0::BIGINT, -1::BIGINT UNION ALL
+    SELECT c.seg + 1, c.last + 1, coalesce(x.seq, (SELECT max(seq) FROM lg)) FROM cut c, LATERAL (SELECT min(seq) AS seq FROM
+      (SELECT seq, sum(CASE WHEN before >= c.last + 1 THEN change ELSE fresh END) OVER (ORDER BY seq) AS held FROM lg WHERE seq > c.last) WHERE held >= 4096) x
+    WHERE c.last < (SELECT max(seq) FROM lg))
+  SELECT seg, min(seq) AS first_seq, max(seq) AS last_seq, count(*)::BIGINT AS n FROM cut JOIN lg ON seq BETWEEN first AND last WHERE seg > 0 GROUP BY seg"""
+
+# The list of sizes after each merge; the newest run of four or more of one tier goes first.
+FIXPOINT = f"""WITH RECURSIVE {EVENTS}, {IMAGE},
+  sz AS (SELECT list(s ORDER BY seg DESC) AS sizes, max(seg) AS top FROM (SELECT seg, sum(9 + strlen(key) + strlen(value))::BIGINT AS s FROM im GROUP BY seg)),
+  st(step, sizes, first, past, top) AS (SELECT 0::BIGINT, sizes, NULL::BIGINT, NULL::BIGINT, top FROM sz UNION ALL
+    SELECT step + 1, list_concat(sizes[:f - 1], [list_sum(sizes[f:p - 1])::BIGINT], sizes[p:]), f, p, top + 1 FROM
+      (SELECT *, coalesce(list_min(list_filter(range(f + 1, len(sizes) + 1), lambda j: tiers[j] <> tiers[f])), len(sizes) + 1) AS p FROM
+        (SELECT step, sizes, top, tiers, list_min(list_filter(range(1, len(sizes) - 2), lambda i: (i = 1 OR tiers[i - 1] <> tiers[i]) AND tiers[i] = tiers[i + 1] AND tiers[i] = tiers[i + 2] AND tiers[i] = tiers[i + 3])) AS f FROM
+          (SELECT *, list_transform(sizes, lambda s: greatest(0, trunc(ln(greatest(s, 1)::DOUBLE) / ln(4)))::BIGINT) AS tiers FROM st)) WHERE f IS NOT NULL))
+  SELECT step, first - 1 AS start, past - 2 AS "end", past - 1 = len_before AS drop_tombstones, top AS number FROM
+    (SELECT *, len(sizes) + past - first - 1 AS len_before FROM st) WHERE step > 0"""
+
+
+def _little(n: str, size: int) -> str:
+    """The hexadecimal digits of a little-endian integer."""
+    return " || ".join(f"printf('%02X', ({n} >> {8 * k}) & 255)" for k in range(size))
+
+
 def _place(f: float) -> str:
     return f"max(CASE WHEN r = floor({f} * (n - 1))::BIGINT + 1 THEN x END)"
 
@@ -122,4 +148,27 @@ ORACLE_SQL: dict[str, str] = {
     "throughput_summary": "SELECT event_type, ops, span_us, round(ops * 1e6::DOUBLE / span_us, 6) AS ops_per_sec FROM (SELECT event_type, count(*)::BIGINT AS ops, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS span_us FROM events GROUP BY event_type)",
     "status_text": """SELECT n_nationkey, label || CASE WHEN label <> 'ok' AND length(m) > 0 THEN ': ' || m ELSE '' END AS status FROM
       (SELECT n_nationkey, ['ok', 'not found', 'corruption', 'io error', 'invalid argument'][n_nationkey % 5 + 1] AS label, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS m FROM nation)""",
+    "flush_plan": FLUSH,
+    "compaction_fixpoint": FIXPOINT,
+    "fixed_integers": f"""SELECT event_id, {_little('n', 4)} AS low, {_little('w', 8)} AS wide, n AS low_back, CAST(w AS VARCHAR) AS wide_back FROM
+      (SELECT event_id, n, (event_id * 1000003 + n)::BIGINT AS w FROM (SELECT event_id, ((event_id * 2654435761) % 4294967296)::BIGINT AS n FROM events))""",
+    "wal_decode": f"WITH {EVENTS} SELECT seq, CASE WHEN ok THEN tag END AS tag, CASE WHEN ok THEN key END AS key, CASE WHEN ok THEN value END AS value FROM (SELECT *, seq % 5 <> 2 AND seq % 7 <> 3 AS ok FROM ev)",
+    "wal_file_round_trip": f"""WITH {EVENTS} SELECT seq, tag, key, value, (sum(17 + strlen(key) + strlen(value)) OVER w - 17 - strlen(key) - strlen(value))::BIGINT AS start,
+      (sum(17 + strlen(key) + strlen(value)) OVER w)::BIGINT AS "end" FROM ev WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING)""",
+    "segment_file_round_trip": f"WITH {EVENTS} SELECT tag, key, value FROM ({LATEST} ev) WHERE rn = 1",
+    "segment_file_get": f"""WITH {EVENTS}, {PROBES}, la AS (SELECT * FROM ({LATEST} ev) WHERE rn = 1)
+      SELECT pr.key, CASE WHEN tag IS NULL THEN 'not_present' WHEN tag = 1 THEN 'deleted' ELSE 'found' END AS status, CASE WHEN tag = 0 THEN value END AS value FROM pr LEFT JOIN la USING (key)""",
+    "manifest_bytes": f"""WITH {EVENTS}, {IMAGE}, sg AS (SELECT DISTINCT seg FROM im), hd AS (SELECT max(seg) + 1 AS nx, count(*) AS n FROM sg)
+      SELECT lower('314E414D5F6D736C' || {_little('nx', 8)} || {_little('n', 4)} || (SELECT string_agg({_little('seg', 8)}, '' ORDER BY seg DESC) FROM sg)) AS bytes, nx::BIGINT AS next_file_number,
+      (SELECT array_to_string(list(seg ORDER BY seg DESC), ',') FROM sg) AS table_numbers FROM hd""",
+    "store_reopened": f"WITH {EVENTS} SELECT key, value FROM ({LATEST} ev) WHERE rn = 1 AND tag = 0",
+    "store_compacted": f"WITH {EVENTS} SELECT key, value FROM ({LATEST} ev) WHERE rn = 1 AND tag = 0",
+    "store_flushed": f"""WITH {EVENTS}, im AS (SELECT *, row_number() OVER (PARTITION BY part, key ORDER BY seq DESC) AS rn FROM
+        (SELECT *, (SELECT count(*) FROM (SELECT unnest([1, 2, 3]) AS k) WHERE seq >= k * (SELECT count(*) FROM ev) // 4) AS part FROM ev))
+      SELECT (3 - part)::INTEGER AS pos, (part + 1)::BIGINT AS number, sum(9 + strlen(key) + strlen(value))::BIGINT AS size_bytes, count(*)::BIGINT AS n_entries FROM im WHERE rn = 1 GROUP BY part""",
+    "store_read": f"""WITH {EVENTS}, {PROBES}, la AS (SELECT * FROM ({LATEST} ev) WHERE rn = 1), ak AS (SELECT key FROM pr UNION ALL SELECT key FROM pr WHERE key LIKE 'absent%')
+      SELECT ak.key, CASE WHEN tag IS NULL THEN 'not_present' WHEN tag = 1 THEN 'deleted' ELSE 'found' END AS status, CASE WHEN tag = 0 THEN value END AS value FROM ak LEFT JOIN la USING (key)""",
+    "bloom_missing_filter": f"WITH {EVENTS}, {IMAGE}, {BLOOM}, {PROBES}, {_maybe("SELECT key FROM pr WHERE key LIKE 'absent%'")} SELECT seg, sum((maybe OR seg % 2 = 0)::INT)::BIGINT AS passed FROM mb GROUP BY seg",
+    "workload_fill_random": "SELECT lpad(CAST(row_number() OVER () - 1 AS VARCHAR), 16, '0') AS key, 1::BIGINT AS times FROM orders",
+    "workload_reads": "SELECT unnest(['read-random-uniform', 'read-random-zipfian', 'mixed-50-50']) AS workload, 2000::BIGINT AS ops, 2000::BIGINT AS found",
 }

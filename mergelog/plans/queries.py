@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mergelog import workloads
 from mergelog.errors import LABELS, status_text
-from mergelog.functions import bloom, hashing, workload
+from mergelog.functions import bloom, codec, hashing, workload
 from mergelog.operators import compaction, resolve, segment
-from mergelog.sources import manifest, wal
+from mergelog.options import Options
+from mergelog.sources import manifest, segment_file, wal
+from mergelog.sources.shared import fresh_folder
+from mergelog.store import Store
 
 FPR = 0.01
 BLOCK = 512
@@ -295,6 +299,138 @@ def throughput_summary(spark, d):
     return rows.select("event_type", "ops", "span_us", F.round(F.col("ops") * 1e6 / F.col("span_us"), 6).alias("ops_per_sec"))
 
 
+def fixed_integers(spark, d):
+    """Integers as little-endian bytes, and read back."""
+    n = F.pmod(F.col("event_id") * 2654435761, F.lit(1 << 32))
+    wide = F.col("event_id") * 1_000_003 + n
+    rows = table(spark, d, "events").select("event_id", n.alias("n"), wide.alias("w"))
+    return rows.select("event_id", F.hex(codec.le32(F.col("n"))).alias("low"), F.hex(codec.le64(F.col("w"))).alias("wide"), codec.read_le32(codec.le32(F.col("n"))).alias("low_back"), codec.read_le64(codec.le64(F.col("w"))).cast("string").alias("wide_back"))
+
+
+def wal_decode(spark, d):
+    """Payloads and what is read from them: every fifth is cut by a byte, every seventh has an unknown tag."""
+    rows = mut_events(spark, d)
+    body = codec.payload(F.when(F.col("seq") % 7 == 3, 2).otherwise(F.col("tag")), F.col("key"), F.col("value"))
+    cut = F.when(F.col("seq") % 5 == 2, F.substring(body, F.lit(1), F.octet_length(body) - 1)).otherwise(body)
+    back = rows.select("seq", codec.decode_payload(cut).alias("p"))
+    return back.select("seq", F.col("p.tag").cast("int").alias("tag"), F.col("p.key").cast("string").alias("key"), F.col("p.value").cast("string").alias("value"))
+
+
+def wal_file_round_trip(spark, d):
+    """The log as one file (its order is the file's), with a damaged tail that recovery cuts, read back frame by frame."""
+    spark.dataSource.register(wal.KvWal)
+    folder = fresh_folder(spark, "wal")
+    rows = mut_events(spark, d).repartition(1).sortWithinPartitions("seq").select("tag", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    rows.write.format("kvwal").mode("append").option("path", folder).save()
+    path = f"{folder}/wal-00000.log"
+    wal.write_file(path, (wal.read_file(path) or b"") + b"\5\0\0")
+    wal.recover_file(path)
+    back = spark.read.format("kvwal").option("path", path).load()
+    return back.select("seq", F.col("tag").cast("int").alias("tag"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "start", "end")
+
+
+def _segment_path(spark, d) -> str:
+    """The log's latest rows as one segment file."""
+    spark.dataSource.register(segment_file.KvSegment)
+    folder = fresh_folder(spark, "segment")
+    rows = resolve.latest(mut_events(spark, d)).select("tag", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    rows.repartition(1).sortWithinPartitions("key").write.format("kvsegment").mode("append").option("path", folder).option("block_size", BLOCK).save()
+    return f"{folder}/00000.sst"
+
+
+def segment_file_round_trip(spark, d):
+    back = spark.read.format("kvsegment").option("path", _segment_path(spark, d)).load()
+    return back.select(F.col("tag").cast("int").alias("tag"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def segment_file_get(spark, d):
+    """Each probe looked up in the file: filter, binary search of the index, one block."""
+    path = _segment_path(spark, d)
+
+    def run(batches):
+        own = segment_file.SegmentFile.open(path)
+        for batch in batches:
+            found = [own.get(k.encode()) for k in batch["key"]]
+            yield batch.assign(status=[f[0] for f in found], value=[f[1].decode() if f[1] is not None else None for f in found])
+
+    return probes(spark, d).distinct().mapInPandas(run, "key string, status string, value string")
+
+
+def manifest_bytes(spark, d):
+    """The byte form of the manifest of the fixed segments, and what is read from it; a manifest has one number a segment."""
+    numbers = [r[0] for r in event_images(spark, d).select("seg").distinct().orderBy(F.desc("seg")).collect()]
+    raw = manifest.to_bytes(max(numbers, default=0) + 1, numbers)
+    following, back = manifest.from_bytes(raw)
+    return spark.createDataFrame([(raw.hex(), following, ",".join(map(str, back)))], "bytes string, next_file_number long, table_numbers string")
+
+
+def _stored(spark, d, parts: int, options: Options) -> tuple[str, Store]:
+    """A store that took the events in `parts` batches of equal spans."""
+    path = fresh_folder(spark, "store")
+    log = mut_events(spark, d).select("seq", "tag", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    n = log.count()
+    store = Store.open(spark, path, options)
+    for k in range(parts):
+        store.apply(log.where((F.col("seq") >= k * n // parts) & (F.col("seq") < (k + 1) * n // parts)), "seq")
+    return path, store
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    return df.withColumn("key", F.col("key").cast("string")).withColumn("value", F.col("value").cast("string"))
+
+
+def store_reopened(spark, d):
+    """Puts and deletes in three batches, closed without a flush, opened again: the live state comes from the log."""
+    path, store = _stored(spark, d, 3, Options(flush_threshold_bytes=1 << 40))
+    store.close()
+    return _texts(Store.open(spark, path, Options(create_if_missing=False)).snapshot().live())
+
+
+def store_flushed(spark, d):
+    """A flush behind each of four batches: (pos, number, size_bytes, n_entries), the newest first."""
+    return _stored(spark, d, 4, Options(flush_threshold_bytes=1))[1].segments()
+
+
+def store_compacted(spark, d):
+    """Four flushed batches, merged until nothing is eligible, vacuumed and opened again."""
+    path, store = _stored(spark, d, 4, Options(flush_threshold_bytes=1, compaction_min_merge=2))
+    store.compact()
+    store.vacuum()
+    return _texts(Store.open(spark, path).snapshot().live())
+
+
+def store_read(spark, d):
+    """Repeated keys through segments and the log: (key, status, value) for each row asked."""
+    _, store = _stored(spark, d, 3, Options(flush_threshold_bytes=20_000))
+    asked = probes(spark, d)
+    return _texts(store.read(asked.unionByName(asked.where(F.col("key").startswith("absent")))))
+
+
+def bloom_missing_filter(spark, d):
+    """(seg, passed) of absent keys where segments of even numbers have no filter."""
+    images = event_images(spark, d)
+    absent = probes(spark, d).where(F.col("key").startswith("absent"))
+    params = bloom.parameters(images, FPR)
+    passed = bloom.passing(bloom.every_pair(absent, params), bloom.set_bits(images.where("seg % 2 = 1"), FPR), FPR).groupBy("seg").agg(F.count("*").alias("p"))
+    return params.select("seg").join(passed, "seg", "left").select("seg", F.coalesce("p", F.lit(0).cast("long")).alias("passed"))
+
+
+def _runner(spark) -> workloads.Runner:
+    return workloads.Runner(spark, workloads.parse("--num_ops 2000 --num_keys 1000 --trials 1 --batches 2 --flush_threshold 100000".split()))
+
+
+def workload_fill_random(spark, d):
+    """The keys of a random fill of as many operations as there are orders: each once."""
+    n = table(spark, d, "orders").count()
+    return spark.range(n).select(F.col("id").alias("op"), workloads.shuffled(F.col("id"), n, 42).alias("i")).groupBy(workload.bench_key(F.col("i")).alias("key")).agg(F.count("*").alias("times"))
+
+
+def workload_reads(spark, d):
+    """Uniform and Zipf reads and the mix over a filled store: operations, and how many of the reads found their key."""
+    rows = _runner(spark).suite(("read-random-uniform", "read-random-zipfian", "mixed-50-50"))
+    return spark.createDataFrame([(r.workload, r.ops, r.found if r.workload.startswith("read") else r.ops) for r in rows], "workload string, ops long, found long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -303,6 +439,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bloom_no_false_negatives, read_amplification, segment_tiers, compaction_pick, compaction_runs, compaction_merge_keep, compaction_merge_drop,
         compaction_fixpoint, wal_frames, wal_offsets, wal_recover, wal_truncate_offset, manifest_state, live_and_orphan_segments, snapshot_read,
         range_scan, seek, bench_key, zipf_cdf, zipf_draw, latency_percentiles, median_of_trials, throughput_summary,
+        fixed_integers, wal_decode, wal_file_round_trip, segment_file_round_trip, segment_file_get, manifest_bytes, store_reopened, store_flushed,
+        store_compacted, store_read, bloom_missing_filter, workload_fill_random, workload_reads,
     )
 }
 QUERIES["status_text"] = status_line
