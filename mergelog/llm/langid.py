@@ -3,7 +3,8 @@
 A text's vector is the TF-IDF of its hashed byte bigrams and trigrams (letters lower-cased
 in A-Z, digits and ASCII signs folded to one space), with sublinear counts and unit
 length. Each language has several centroids, made by spherical k-means on a bounded sample of
-labelled rows (TRAIN_ROWS, the least hashes of their ids). A text gets the language of
+labelled rows: TRAIN_ROWS in all, as many of each language (the least hashes of their ids),
+so that rare languages are learned, too. A text gets the language of
 the centroid of largest cosine; it is rejected when that cosine is less than FAR of what a
 text of its length shows. That is one curve over all lengths, fitted to the training texts
 and to a piece of each (a beginning of 4 to 8192 bytes), so that tables of all sizes have
@@ -11,7 +12,8 @@ it for all lengths.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and
 rejected. Ties go to the lesser language name. Without any labelled row every text is
-`und`. Repeated rows get equal results. Only the named columns are read as input.
+`und`. Repeated rows get equal results; of training rows that share an id and a language
+the least text counts. Only the named columns are read as input.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import LOWER, column, slices, text_buffers
+from .staging import Staging
 
 DIMS_2, DIMS_3 = 1024, 3072
 DIMS = DIMS_2 + DIMS_3
@@ -163,9 +166,14 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from at most train_rows labelled rows where `trains` holds; what comes to the driver is a vector for each and one for its piece."""
-    base = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), trains.alias("_t")).where(F.col("_t") & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    ids = base.where(F.col("_d").isNotNull()).select(F.col("_d").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows).distinct()
-    rows = base.join(F.broadcast(ids), F.col("_d") == F.col("_id")).select("_lang", "_text")
+    staging = Staging(docs.sparkSession, "langid")
+    base = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), trains.alias("_t")).where(F.col("_t") & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_d"), "_d")  # planned with a limit in each map task
+    first = base.where(F.col("_d").isNotNull()).select("_d", "_lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= train_rows)
+    first = staging.table(first, "ids")
+    each = max(1, train_rows // max(1, first.select("_lang").distinct().count()))
+    ids = first.where(F.col("_r") <= each).select(F.col("_d").alias("_id"), F.col("_lang").alias("_l")).distinct()
+    rows = base.join(F.broadcast(ids), (F.col("_d") == F.col("_id")) & (F.col("_lang") == F.col("_l"))).groupBy("_d", "_lang").agg(F.min("_text").alias("_text"))
     got = rows.mapInArrow(_vectors, "lang string, grams long, logs binary").toArrow()
     own = np.array(got.column("lang").is_valid())
     n = int(own.sum())

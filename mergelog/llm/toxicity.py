@@ -9,11 +9,14 @@ E = K * n * exp(-lambda * S) is how many segments of score S to expect by chance
 tokens. A text's segments are added up as lambda * S - ln(K * n) where positive, and a
 one-dimensional logistic fit turns that and the best segment's value into a probability.
 
-The model is fitted on at most TRAIN_ROWS labelled rows (the least hashes of their ids).
+The model is fitted on at most TRAIN_ROWS labelled rows (the least hashes of their ids),
+which are written once and read from there. Its three settings were chosen by `choose`:
+cross-validation over training rows alone.
 
 Defined results: null and empty texts have no segment and get the least score. Without
 labelled rows, or with one class only, every score is the share of toxic rows (0 without
 rows). Labels that are null aren't used; of repeated labels of a row the largest counts.
+Of training rows that share an id the least text counts.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import LOWER, column, slices, text_buffers, word_bounds, word_hashes
+from .staging import Staging
 
 TRAIN_ROWS = 20_000
-PRIOR = 0.05  # of the background counts
+PRIOR = 0.2  # of the background counts
 LEAST_Z = 6.0
 LEAST_COUNT = 8
-COST = 0.15
+COST = 0.05
 SIGN = np.zeros(256, bool)
 SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -71,7 +75,7 @@ def segments(scores: list[float]) -> list[tuple[float, int, int]]:
     return [(b - a, first, last) for a, b, first, last, _ in stack]
 
 
-def found_segments(hashes: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> list[tuple[float, int, int]]:
+def found_segments(hashes: np.ndarray, keys: np.ndarray, weights: np.ndarray, cost: float = COST) -> list[tuple[float, int, int]]:
     """Segments of one text; stretches of plain tokens are one step each, since they can only be crossed whole."""
     if not len(keys) or not len(hashes):
         return []
@@ -83,7 +87,7 @@ def found_segments(hashes: np.ndarray, keys: np.ndarray, weights: np.ndarray) ->
     steps, place = [], []
     for p, g, w in zip(hit.tolist(), gaps.tolist(), weights[at[hit]].tolist(), strict=True):
         if g:
-            steps.append(-COST * g)
+            steps.append(-cost * g)
             place.append((p - g, p))
         steps.append(w)
         place.append((p, p + 1))
@@ -98,6 +102,10 @@ class Model:
     log_k: float
     fit: tuple[float, ...]
     base: float
+    cost: float = COST
+
+    def found(self, hashes: np.ndarray) -> list[tuple[float, int, int]]:
+        return found_segments(hashes, self.keys, self.weights, self.cost)
 
     def values(self, n: int, found: list[tuple[float, int, int]]) -> tuple[float, float]:
         """(the best segment's calibrated value, the sum of the positive ones)."""
@@ -128,12 +136,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _measure(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = column(batch, "_toxic").to_numpy()
+            toxic = column(batch, "_toxic").cast(pa.int64())
             for first, heads, h in tokens(column(batch, "_text")):
                 n = len(heads) - 1
-                tops = [max((s for s, _, _ in found_segments(h[heads[k] : heads[k + 1]], model.keys, model.weights)), default=0.0) for k in range(n)]
-                values = [model.values(int(heads[k + 1] - heads[k]), found_segments(h[heads[k] : heads[k + 1]], model.keys, model.weights)) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.diff(heads)), pa.array(tops, pa.float64()), pa.array([v[0] for v in values], pa.float64()), pa.array([v[1] for v in values], pa.float64()), pa.array(toxic[first : first + n].astype(np.int64))], names=["n", "top", "best", "total", "toxic"])
+                every = [[s for s, _, _ in model.found(h[heads[k] : heads[k + 1]])] for k in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(heads)), pa.array(every, pa.list_(pa.float64())), toxic.slice(first, n)], names=["n", "scores", "toxic"])
 
     return run
 
@@ -162,42 +169,64 @@ def _rate(scores: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
-def fit(docs: DataFrame, labels: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most train_rows labelled rows where `trains` (over `_id`) holds."""
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_toxic")).where(F.col("_toxic").isNotNull() & F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+def sample(docs: DataFrame, labels: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(_id, _text, _toxic) of at most train_rows labelled rows where `trains` (over `_id`) holds, written."""
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_toxic")).where(F.col("_toxic").isNotNull() & F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     ids = known.where(trains).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
-    rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text")).join(F.broadcast(ids), F.col("_d") == F.col("_id")).select("_text", "_toxic")
+    rows = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_text")).join(F.broadcast(ids), F.col("_d") == F.col("_id"))
+    return Staging(docs.sparkSession, "toxicity").table(rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic")), "sample")
+
+
+def fit_sample(rows: DataFrame, prior: float = PRIOR, least_z: float = LEAST_Z, cost: float = COST) -> Model:
+    """A model from rows (_text, _toxic); they are read three times."""
     counts = rows.mapInArrow(_count, "token long, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
-    n1, n0 = counts.agg(F.coalesce(F.sum("y1"), F.lit(0)), F.coalesce(F.sum("y0"), F.lit(0))).first()
+    total, share = counts.agg(F.coalesce(F.sum("y1"), F.lit(0)), F.coalesce(F.sum("y0"), F.lit(0))), rows.agg(F.coalesce(F.avg(F.col("_toxic").cast("double")), F.lit(0.0)))
+    (n1, n0), share = total.first(), share.first()[0]
     none = np.zeros(0, np.uint64)
-    share = ids.agg(F.coalesce(F.avg(F.col("_toxic").cast("double")), F.lit(0.0))).first()[0]
     if not n1 or not n0:
-        return Model(none, none.astype(float), 1.0, 0.0, (), share)
-    mass = PRIOR * (n1 + n0)
-    odds = counts.where(F.col("y1") + F.col("y0") >= LEAST_COUNT).withColumn("y", F.col("y1") + F.col("y0")).withColumn("a", F.col("y") * PRIOR)
+        return Model(none, none.astype(float), 1.0, 0.0, (), share, cost)
+    mass = prior * (n1 + n0)
+    odds = counts.where(F.col("y1") + F.col("y0") >= LEAST_COUNT).withColumn("y", F.col("y1") + F.col("y0")).withColumn("a", F.col("y") * prior)
     odds = odds.withColumn("d", F.log((F.col("y1") + F.col("a")) / (n1 + mass - F.col("y1") - F.col("a"))) - F.log((F.col("y0") + F.col("a")) / (n0 + mass - F.col("y0") - F.col("a"))))
     odds = odds.withColumn("z", F.col("d") / F.sqrt(1 / (F.col("y1") + F.col("a")) + 1 / (F.col("y0") + F.col("a"))))
-    kept = sorted((r[0] & 0xFFFFFFFFFFFFFFFF, r[1], r[2]) for r in odds.where(F.abs("z") >= LEAST_Z).select("token", "d", "y0").collect())
+    kept = sorted((r[0] & 0xFFFFFFFFFFFFFFFF, r[1], r[2]) for r in odds.where(F.abs("z") >= least_z).select("token", "d", "y0").collect())
     keys = np.array([r[0] for r in kept], np.uint64)
     weights = np.array([r[1] for r in kept], float)
     seen = np.array([r[2] for r in kept], float) / n0
-    rate = _rate(np.append(weights, -COST), np.append(seen, 1 - seen.sum()))
-    model = Model(keys, weights, rate, 0.0, (), share)
-
-    def measured() -> dict[str, np.ndarray]:
-        got = rows.mapInArrow(_measure(model), "n long, top double, best double, total double, toxic long").toArrow()
-        return {c: got.column(c).to_numpy() for c in got.column_names}
-
-    first = measured()
-    clean = first["toxic"] == 0
-    bar = max(float(np.quantile(first["top"][clean], 0.5)), 1e-9) if clean.any() else 1.0
-    over = max(1, int((first["top"][clean] >= bar).sum()))
-    model.log_k = float(np.log(over / max(1, first["n"][clean].sum())) + rate * bar)
-    got = measured()
-    model.fit = _logistic(np.column_stack([got["best"], np.log1p(got["total"])]), got["toxic"].astype(float))
+    rate = _rate(np.append(weights, -cost), np.append(seen, 1 - seen.sum()))
+    model = Model(keys, weights, rate, 0.0, (), share, cost)
+    got = rows.mapInArrow(_measure(model), "n long, scores array<double>, toxic long").toArrow()
+    n, toxic, scores = got.column("n").to_numpy(), got.column("toxic").to_numpy(), got.column("scores").to_pylist()
+    top, clean = np.array([max(s, default=0.0) for s in scores]), toxic == 0
+    bar = max(float(np.quantile(top[clean], 0.5)), 1e-9) if clean.any() else 1.0
+    over = max(1, int((top[clean] >= bar).sum()))
+    model.log_k = float(np.log(over / max(1, n[clean].sum())) + rate * bar)
+    values = np.array([model.values(int(k), [(v, 0, 0) for v in s]) for k, s in zip(n, scores, strict=True)])
+    model.fit = _logistic(np.column_stack([values[:, 0], np.log1p(values[:, 1])]), toxic.astype(float))
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from at most train_rows labelled rows where `trains` (over `_id`) holds; only their tokens' kept weights and segments' scores come to the driver."""
+    return fit_sample(sample(docs, labels, trains, train_rows, id_col, text_col, label_col))
+
+
+def choose(rows: DataFrame, grid: list[tuple[float, float, float]], folds: int = 4) -> list[tuple[float, float, tuple[float, float, float]]]:
+    """(mean log loss, error rate, (prior, least z, cost)) of each setting, best first: cross-validation over the sample's own rows, by hashes of their ids."""
+    fold, out = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(folds)), []
+    for setting in grid:
+        loss = errors = n = 0.0
+        for k in range(folds):
+            model = fit_sample(rows.where(fold != k), *setting)
+            for r in score(rows.where(fold == k), model, F.col("_toxic") > 0, "_id", "_text").select("held_out", "score").collect():
+                p = min(max(r["score"], 1e-6), 1 - 1e-6)
+                loss -= np.log(p if r["held_out"] else 1 - p)
+                errors += (p >= 0.5) != r["held_out"]
+                n += 1
+        out.append((float(loss / max(n, 1)), float(errors / max(n, 1)), setting))
+    return sorted(out)
+
+
 def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, passages: token spans 'first:last:value') for every row, without a shuffle."""
 
@@ -209,7 +238,7 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
             best[:] = least[0]
             for first, heads, h in tokens(column(batch, "_text")):
                 for k in range(len(heads) - 1):
-                    found = found_segments(h[heads[k] : heads[k + 1]], model.keys, model.weights)
+                    found = model.found(h[heads[k] : heads[k + 1]])
                     best[first + k], total[first + k] = model.values(int(heads[k + 1] - heads[k]), found)
                     if found:
                         bar = -model.log_k - np.log(heads[k + 1] - heads[k])
