@@ -2,9 +2,10 @@
 
 Texts are lower-cased and cut into words (x20 and x09-x0D part them); a shingle is five
 words. A window has as many words as an item. Every window that shares a shingle with
-an item of its size and starts at one (or is the last that fits) gets a 63-bit SimHash
+any item of its size and starts at one (or is the last that fits) gets a 63-bit SimHash
 weighted by shingle counts; a best window of the item's size always starts so, since
-sliding one to its first shared shingle loses none.
+sliding one to its first shared shingle loses none. Which item a window may match is
+found by its fingerprint alone.
 
 Fingerprints are compared by a multi-index: nine blocks of seven bits. Two fingerprints
 at most 26 bits apart have a block at most two bits apart, so an index of each item's
@@ -13,6 +14,9 @@ similarity of 0.75 fingerprints are 11 bits apart on average, with a deviation o
 Candidates are verified by exact weighted-shingle similarity: shared counts to all
 counts, 0.75 or more.
 
+Item data up to BROADCAST_BYTES are broadcast. Beyond, shingles (document, place, hash) are
+joined alone, and only documents with a hit, once each, meet their windows' places again.
+
 Defined results: null, empty or blank texts, and texts that share no shingle, are clean.
 Items without words match nothing. Repeated ids get their rows' findings
 together; rows without an id are reported clean. With an empty benchmark all documents are clean. Only the named
@@ -37,7 +41,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 BROADCAST_BYTES = 64 << 20
 #: XOR masks of a block's neighbours.
 NEIGHBOURS = [m for m in range(1 << BLOCK_BITS) if bin(m).count("1") <= SLACK]
-INDEX_ROW_BYTES = 48
+INDEX_ROW_BYTES, KEY_ROW_BYTES = 48, 24
 
 
 def words_of(text: Column) -> Column:
@@ -76,9 +80,13 @@ def _shared(x: Column, y: Column) -> Column:
     return F.when(sets, F.size(F.array_intersect(x, y))).otherwise(slow)
 
 
+def _fits(rows: int, row_bytes: int) -> bool:
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
 def _sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast only below a checked size; a shuffle join otherwise."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if _fits(rows, row_bytes) else df
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -90,13 +98,21 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     n_items, n_shingles, short = items.agg(F.count("*"), F.sum("k"), F.collect_set(F.when(F.col("n") < WORDS, F.col("n")))).first()
     n_items, n_shingles = n_items or 0, n_shingles or 0
     keys = items.select("n", "k", F.explode("item_shingles").alias("h")).distinct()
-    keys = _sized(keys, n_shingles, 24)
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("_w"))
-    # outer, so that no size filter makes the shingles a second time
-    runs = texts.select("doc_id", F.size("_w").alias("_n"), _shingles(F.col("_w")).alias("hs")).select("doc_id", "hs", F.posexplode_outer("hs").alias("pos", "h"))
-    hits = runs.join(keys.where(F.col("n") >= WORDS), "h")
-    start = F.least(F.col("pos"), F.greatest(F.size("hs") - F.col("k"), F.lit(0)))
-    windows = hits.select("doc_id", "n", F.slice("hs", start + 1, F.col("k")).alias("w"))
+    long_keys = keys.where(F.col("n") >= WORDS)
+    start = F.least(F.col("pos"), F.greatest(F.col("_m") - F.col("k"), F.lit(0)))
+    if _fits(n_shingles, KEY_ROW_BYTES):
+        keys, long_keys = F.broadcast(keys), F.broadcast(long_keys)
+        # outer, so that no size filter makes the shingles a second time
+        runs = texts.select("doc_id", F.size("_w").alias("_n"), _shingles(F.col("_w")).alias("hs")).select("doc_id", "hs", F.size("hs").alias("_m"), F.posexplode_outer("hs").alias("pos", "h"))
+        windows = runs.join(long_keys, "h").select("doc_id", "n", F.slice("hs", start + 1, F.col("k")).alias("w"))
+    else:
+        sets = Staging(docs.sparkSession, "shingles").table(texts.select(F.monotonically_increasing_id().alias("_row"), "doc_id", _shingles(F.col("_w")).alias("hs")), "sets")
+        runs = sets.select("_row", F.size("hs").alias("_m"), F.posexplode("hs").alias("pos", "h"))
+        places = runs.join(long_keys, "h").select("_row", "n", "k", start.alias("at")).distinct()
+        places = places.groupBy("_row").agg(F.collect_list(F.struct("n", "k", "at")).alias("_p"))  # at most a document's shingles times the items' sizes
+        each = sets.join(places, "_row").select("doc_id", "hs", F.explode("_p").alias("_p"))
+        windows = each.select("doc_id", F.col("_p.n").alias("n"), F.slice("hs", F.col("_p.at") + 1, F.col("_p.k")).alias("w"))
     for size in sorted(short or []):  # one to four words, each its own window
         grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - size, F.lit(0))), lambda i: F.xxhash64(F.slice("_w", i + 1, size)))
         one = texts.where(F.size("_w") >= size).select("doc_id", F.explode(F.array_distinct(grams)).alias("h")).join(keys.where(F.col("n") == size), "h")
