@@ -1,23 +1,26 @@
 """Approximate nearest neighbours by inner product: an HNSW graph for each shard, shard results merged.
 
-Rows are dealt to shards of at most about SHARD_ROWS distinct vectors. A shard's graph is
-built in bulk: a node's level comes from a hash of its id; on each level the nearest
-nodes (exact within the shard, in blocks) pass the diversity rule, reverse links are
-added, and the lists are pruned by the same rule. Graphs are flat arrays: level 0 has 32
-neighbours a node, each upper level 16. For inner products a coordinate is added that
-makes all vectors of a shard equally long, so that near means large product.
+Vectors of one length are dealt to shards of at most SHARD_ROWS distinct vectors (fewer of
+very long ones, SHARD_BYTES). A shard's graph is built by insertion, layer by layer from
+the top: a node's level comes from a hash of its id; a batch of nodes, never larger than
+what is in the layer, descends through the finished layers and searches its own with a
+beam; the beam's nodes and the batch's own are thinned by the diversity rule to DEGREE
+links, reverse links are added, and lists that grow too long are thinned by the same rule.
+Graphs are flat arrays: level 0 has 32 neighbours a node, each upper level 16. For inner
+products a coordinate is added that makes all vectors of a shard equally long, so that
+near means large product.
 
 A search goes down the levels with a beam for many queries at once. Every shard is
-searched for every query; results are merged by exact products in double precision.
+searched for every query of its length; a graph is sent once for QUERY_ROWS queries.
+Results are merged by exact products in double precision.
 
 Equal vectors are one node: its copies (at most k + 1, the least ids) come back in the
 merge, which is exact because ties go to the lesser id.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
-take no part, nor do vectors of another length than the most frequent (of equally
-frequent ones the least). With
-fewer candidates than k all are returned. An empty table gives no rows. Of repeated ids
-with equal vectors one counts.
+take no part. Vectors of different lengths have no product: each length is an index of its
+own, and a query finds candidates of its length. With fewer candidates than k all are
+returned. An empty table gives no rows. Of repeated ids with equal vectors one counts.
 """
 
 from __future__ import annotations
@@ -26,18 +29,23 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import ODD, mix
+from .skew import salted_join
 from .staging import Staging
 
 SHARD_ROWS = 8192
-QUERY_ROWS = 2048
+SHARD_BYTES = 64 << 20
+QUERY_ROWS = 32_768
+QUERY_BYTES = 32 << 20
+TOGETHER = 1024
 DEGREE = 16
-NEAREST = 64
-BEAM = 96
-UPPER_BEAM = 16
+BUILD_BEAM = 40
+BEAM = 128
+UPPER_BEAM = 8
+EXPAND = 4
 CHUNK = 256
 
 
@@ -61,34 +69,106 @@ def _diverse(near: np.ndarray, sims: np.ndarray, v: np.ndarray, degree: int) ->
     return out
 
 
-def _layer(v: np.ndarray, degree: int) -> np.ndarray:
-    """A navigable graph over v's rows: neighbour lists of `degree` places, -1 for none."""
-    n = len(v)
-    k = min(NEAREST, n - 1)
-    if k <= 0:
-        return np.full((n, degree), -1, np.int32)
-    near, sims = np.empty((n, k), np.int32), np.empty((n, k), np.float32)
-    for a in range(0, n, CHUNK):
-        s = v[a : a + CHUNK] @ v.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        own = np.take_along_axis(s, top, axis=1)
-        order = np.argsort(-own, axis=1, kind="stable")
-        near[a : a + CHUNK], sims[a : a + CHUNK] = np.take_along_axis(top, order, axis=1), np.take_along_axis(own, order, axis=1)
-    out = _diverse(near, sims, v, max(degree // 2, 1))
-    source, target = np.repeat(np.arange(n, dtype=np.int32), out.shape[1]), out.ravel()
-    have = target >= 0
-    both = np.unique(np.concatenate([np.stack([source[have], target[have]], 1), np.stack([target[have], source[have]], 1)]), axis=0)
-    sim = np.einsum("ed,ed->e", v[both[:, 0]], v[both[:, 1]])
-    both = both[np.lexsort((-sim, both[:, 0]))]
-    first = np.searchsorted(both[:, 0], np.arange(n + 1))
-    width = int(min(max(np.diff(first).max(), 1), 2 * NEAREST))
-    place = np.arange(len(both)) - first[both[:, 0]]
-    keep = place < width
-    wide = np.full((n, width), -1, np.int32)
-    wide[both[keep, 0], place[keep]] = both[keep, 1]
-    near_by = np.einsum("nwd,nd->nw", v[wide], v) if n * width * v.shape[1] < 1 << 27 else np.stack([v[w] @ x for w, x in zip(wide, v, strict=True)])
-    return _diverse(wide, near_by, v, degree)
+def _beam(q: np.ndarray, v: np.ndarray, graph: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best `beam` nodes found for each query, from start nodes (-1: none), nearest first; EXPAND nodes are opened at a step."""
+    n_q, width = len(q), min(beam, start.shape[1])
+    rows_of = np.arange(n_q)[:, None]
+    seen = np.zeros((n_q, len(v) + 1), bool)  # the last place is for -1
+    seen[:, -1] = True
+    ids = np.full((n_q, beam), -1, np.int32)
+    sims = np.full((n_q, beam), -np.inf, np.float32)
+    ids[:, :width] = start[:, :width]
+    sims[:, :width] = np.where(ids[:, :width] >= 0, np.einsum("qwd,qd->qw", v[ids[:, :width]], q), -np.inf)
+    seen[rows_of, ids] = True
+    done = ids < 0
+    live = np.flatnonzero(~done.all(axis=1))
+    while len(live):
+        at = rows_of[: len(live)]
+        best = np.argpartition(np.where(done[live], np.inf, -sims[live]), EXPAND - 1, axis=1)[:, :EXPAND]
+        opened = ~done[live[:, None], best]
+        done[live[:, None], best] = True
+        near = graph[ids[live[:, None], best]]
+        near = np.where(opened[:, :, None], near, -1).reshape(len(live), -1)
+        near[seen[live[:, None], near]] = -1
+        near.sort(axis=1)  # the same node from two lists counts once
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        near = -np.sort(-near, axis=1)
+        near = near[:, : max(1, int((near >= 0).sum(axis=1).max()))]
+        fresh = near >= 0
+        seen[live[:, None], near] = True
+        r, c = np.nonzero(fresh)
+        got = np.full(near.shape, -np.inf, np.float32)
+        got[r, c] = np.einsum("ed,ed->e", v[near[r, c]], q[live[r]])
+        all_sims = np.concatenate([sims[live], got], axis=1)
+        order = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+        sims[live] = all_sims[at, order]
+        ids[live] = np.concatenate([ids[live], near], axis=1)[at, order]
+        done[live] = np.concatenate([done[live], ~fresh], axis=1)[at, order]
+        live = live[~done[live].all(axis=1)]
+    order = np.argsort(-sims, axis=1, kind="stable")
+    return ids[rows_of, order], sims[rows_of, order]
+
+
+def _descend(q: np.ndarray, v: np.ndarray, layers: list[np.ndarray], entry: np.ndarray) -> np.ndarray:
+    """Start nodes for the layer below `layers` (from the top)."""
+    start = np.repeat(entry[None, :UPPER_BEAM].astype(np.int32), len(q), axis=0)
+    for graph in layers:
+        start, _ = _beam(q, v, graph, start, UPPER_BEAM)
+    return start
+
+
+def _insert(v: np.ndarray, nodes: np.ndarray, degree: int, upper: list[np.ndarray], entry: np.ndarray) -> np.ndarray:
+    """A layer's neighbour lists (for all of v, -1 for none), its nodes inserted in batches in the order given."""
+    graph = np.full((len(v), degree), -1, np.int32)
+    used = np.zeros(len(v), np.int64)
+    links, n = max(degree // 2, 1), 0
+    while n < len(nodes):
+        batch = nodes[n : n + min(TOGETHER, max(n, 32))]
+        own = v[batch] @ v[batch].T
+        np.fill_diagonal(own, -np.inf)
+        k = min(BUILD_BEAM, len(batch) - 1)
+        top = np.argpartition(-own, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(batch), 0), int)
+        ids, sims = batch[top].astype(np.int32), np.take_along_axis(own, top, axis=1)
+        if n:
+            start = _descend(v[batch], v, upper, entry)
+            if not upper:
+                start = np.repeat(nodes[None, : min(n, UPPER_BEAM)], len(batch), axis=0).astype(np.int32)
+            found, near = _beam(v[batch], v, graph, start, BUILD_BEAM)
+            ids, sims = np.concatenate([found, ids], axis=1), np.concatenate([near, sims], axis=1)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD_BEAM]
+        ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
+        chosen = _diverse(np.where(np.isfinite(sims), ids, -1), sims, v, links)
+        source, target = np.repeat(batch, chosen.shape[1]), chosen.ravel()
+        have = target >= 0
+        source, target = source[have], target[have]
+        graph[batch, : chosen.shape[1]] = chosen
+        used[batch] = (chosen >= 0).sum(axis=1)
+        _link_back(graph, used, v, target, source)
+        n += len(batch)
+    return graph
+
+
+def _link_back(graph: np.ndarray, used: np.ndarray, v: np.ndarray, target: np.ndarray, source: np.ndarray) -> None:
+    """source joins target's list; a list that would overflow is thinned with what comes."""
+    degree = graph.shape[1]
+    there = (graph[target] == source[:, None]).any(axis=1)
+    target, source = target[~there], source[~there]
+    order = np.argsort(target, kind="stable")
+    target, source = target[order], source[order]
+    place = np.arange(len(target)) - np.searchsorted(target, target) + used[target]
+    fits = place < degree
+    graph[target[fits], place[fits]] = source[fits]
+    over = np.unique(target[~fits])
+    if len(over):
+        row = np.searchsorted(over, target[~fits])
+        extra = place[~fits] - degree
+        wide = np.full((len(over), degree + int(extra.max()) + 1), -1, np.int32)
+        wide[:, :degree] = graph[over]
+        wide[row, degree + extra] = source[~fits]
+        sims = np.concatenate([np.where(w >= 0, np.einsum("rwd,rd->rw", v[w], v[o]), -np.inf) for w, o in ((wide[k : k + CHUNK], over[k : k + CHUNK]) for k in range(0, len(over), CHUNK))])
+        rank = np.argsort(-sims, axis=1, kind="stable")[:, : degree + degree // 2]
+        graph[over] = _diverse(np.take_along_axis(wide, rank, axis=1), np.take_along_axis(sims, rank, axis=1), v, degree)
+    used[target] = (graph[target] >= 0).sum(axis=1)
 
 
 def build(ids: np.ndarray, vectors: np.ndarray) -> bytes:
@@ -98,123 +178,91 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> bytes:
     v = np.concatenate([v, np.sqrt(np.maximum(long.max() - long, 0))[:, None]], axis=1) / np.sqrt(long.max())
     u = (mix(ids.astype(np.uint64) * ODD) >> np.uint64(11)).astype(np.float64) / 2.0**53
     level = np.minimum((-np.log(np.maximum(u, 2.0**-53)) / np.log(DEGREE)).astype(int), 12)
-    parts = {"ids": ids, "vectors": vectors.astype(np.float64), "layer_0": _layer(v, 2 * DEGREE)}
-    top = 0
-    for k in range(1, int(level.max()) + 1):
-        nodes = np.flatnonzero(level >= k).astype(np.int32)
-        own = _layer(v[nodes], DEGREE)
-        parts[f"nodes_{k}"], parts[f"layer_{k}"] = nodes, np.where(own >= 0, nodes[own], -1).astype(np.int32)
-        top = k
-    parts["top"] = np.array([top])
+    order = np.argsort(-level, kind="stable")  # nodes of upper layers come first in lower ones
+    entry, layers = order[:UPPER_BEAM], []
+    parts = {"ids": ids, "vectors": vectors.astype(np.float64), "entry": entry.astype(np.int32), "top": level.max(keepdims=True)}
+    for k in range(int(level.max()), -1, -1):
+        nodes = order[: int((level >= k).sum())]
+        graph = _insert(v, nodes, DEGREE if k else 2 * DEGREE, layers, entry)
+        layers.append(graph)
+        parts[f"nodes_{k}"], parts[f"layer_{k}"] = nodes.astype(np.int32), graph[nodes]
     raw = io.BytesIO()
     np.savez(raw, **parts)
     return raw.getvalue()
 
 
-def _beam(q: np.ndarray, v: np.ndarray, graph: np.ndarray, place: np.ndarray | None, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best `beam` nodes found for each query, from start nodes; place maps nodes to the graph's rows."""
-    n_q, n = len(q), len(v)
-    seen = np.zeros((n_q, n), bool)
-    ids = np.full((n_q, beam), -1, np.int32)
-    sims = np.full((n_q, beam), -np.inf, np.float32)
-    done = np.ones((n_q, beam), bool)
-    width = min(beam, start.shape[1])
-    some = start[:, :width]
-    real = some >= 0
-    ids[:, :width] = some
-    sims[:, :width] = np.where(real, np.einsum("qwd,qd->qw", v[some], q), -np.inf)
-    done[:, :width] = ~real
-    rows, cols = np.nonzero(real)
-    seen[rows, some[rows, cols]] = True
-    live = np.flatnonzero((~done).any(axis=1))
-    while len(live):
-        best = np.where(done[live], -np.inf, sims[live]).argmax(axis=1)
-        node = ids[live, best]
-        done[live, best] = True
-        near = graph[node if place is None else place[node]]
-        fresh = (near >= 0) & ~seen[live[:, None], near]
-        r, c = np.nonzero(fresh)
-        seen[live[r], near[r, c]] = True
-        got = np.full(near.shape, -np.inf, np.float32)
-        got[r, c] = np.einsum("ed,ed->e", v[near[r, c]], q[live[r]])
-        all_sims = np.concatenate([sims[live], got], axis=1)
-        order = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-        sims[live] = np.take_along_axis(all_sims, order, axis=1)
-        ids[live] = np.take_along_axis(np.concatenate([ids[live], np.where(fresh, near, -1)], axis=1), order, axis=1)
-        done[live] = np.take_along_axis(np.concatenate([done[live], ~fresh], axis=1), order, axis=1)
-        live = live[(~done[live]).any(axis=1)]
-    return ids, sims
-
-
-def search(blob: bytes, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, inner product in doubles) of up to k nodes for each query."""
-    parts = np.load(io.BytesIO(blob))
-    ids, vectors = parts["ids"], parts["vectors"]
-    v, q = vectors.astype(np.float32), queries.astype(np.float32)
-    start = None
-    for level in range(int(parts["top"][0]), 0, -1):
-        nodes = parts[f"nodes_{level}"]
-        place = np.full(len(v), -1, np.int32)
-        place[nodes] = np.arange(len(nodes))
-        if start is None:
-            start = np.repeat(nodes[None, :UPPER_BEAM], len(q), axis=0)
-        start, _ = _beam(q, v, parts[f"layer_{level}"], place, start, UPPER_BEAM)
-    if start is None:
-        start = np.repeat(np.arange(min(len(v), UPPER_BEAM), dtype=np.int32)[None], len(q), axis=0)
-    found, sims = _beam(q, v, parts["layer_0"], None, start, max(BEAM, k))
-    order = np.argsort(-sims, axis=1, kind="stable")[:, : k + 4]  # a few more, since singles may round
-    found = np.take_along_axis(found, order, axis=1)
-    rows, cols = np.nonzero(found >= 0)
-    nodes = found[rows, cols]
-    exact = (vectors[nodes] * queries[rows]).sum(axis=1)
-    rank = np.lexsort((ids[nodes], -exact, rows))
-    rows, nodes, exact = rows[rank], nodes[rank], exact[rank]
-    first = np.searchsorted(rows, np.arange(len(q)))
-    keep = np.arange(len(rows)) - first[rows] < k
-    return rows[keep], ids[nodes[keep]], exact[keep]
-
-
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
-
-
-def nearest(df: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+class Graph:
+    def __init__(self, blob: bytes):
+        parts = np.load(io.BytesIO(blob))
+        self.ids, self.vectors, self.entry = parts["ids"], parts["vectors"], parts["entry"]
+        self.v, self.layers = self.vectors.astype(np.float32), []
+        for k in range(int(parts["top"][0]), -1, -1):
+            layer = parts[f"layer_{k}"]
+            graph = np.full((len(self.v), layer.shape[1]), -1, np.int32)
+            graph[parts[f"nodes_{k}"]] = layer
+            self.layers.append(graph)
+
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, inner product in doubles) of up to k nodes for each query."""
+        out = []
+        for a in range(0, len(queries), TOGETHER):
+            exact_q = queries[a : a + TOGETHER]
+            q = exact_q.astype(np.float32)
+            found, _ = _beam(q, self.v, self.layers[-1], _descend(q, self.v, self.layers[:-1], self.entry), max(BEAM, k))
+            found = found[:, : k + 4]  # a few more, since singles may round
+            rows, cols = np.nonzero(found >= 0)
+            nodes = found[rows, cols]
+            exact = (self.vectors[nodes] * exact_q[rows]).sum(axis=1)
+            rank = np.lexsort((self.ids[nodes], -exact, rows))
+            rows, nodes, exact = rows[rank], nodes[rank], exact[rank]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(q)))[rows] < k
+            out.append((rows[keep] + a, self.ids[nodes[keep]], exact[keep]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def nearest(df: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows where the SQL condition `is_query` (over vec_id) holds, against all rows."""
     spark = df.sparkSession
     staging = Staging(spark, "hnsw")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-    most = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if most is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = most["dims"]
-    rows = rows.where(F.size("v") == dims).distinct()
-    classes = staging.table(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    shards = max(1, -(-classes.count() // SHARD_ROWS))
+    rows = rows.distinct().withColumn("dims", F.size("v").cast("long"))
+    classes = staging.table(rows.groupBy("v", "dims").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    # one search for each distinct query vector
+    asked = rows.where(is_query)
+    queries = staging.table(asked.groupBy("v", "dims").agg(F.min("vec_id").alias("query")), "queries")
+    # one row a length: how many shards it has, and how many groups of queries
+    most = F.least(F.lit(shard_rows), F.greatest(F.lit(256), F.floor(SHARD_BYTES / (8 * F.col("dims")))))
+    each = F.least(F.lit(QUERY_ROWS), F.greatest(F.lit(256), F.floor(QUERY_BYTES / (8 * F.col("dims")))))
+    sizes = classes.groupBy("dims").agg(F.ceil(F.count("*") / most).alias("shards")).join(queries.groupBy("dims").agg(F.ceil(F.count("*") / each).alias("groups")), "dims")
+    sizes = staging.table(sizes, "sizes")
 
     def make(table: pa.Table) -> pa.Table:
         order = table.column("rep").to_numpy().argsort()
         ids = table.column("rep").to_numpy()[order]
-        return pa.table({"shard": table.column("shard")[:1], "blob": pa.array([build(ids, _matrix(table.column("v"), dims)[order])], pa.binary())})
+        return pa.table({"dims": table.column("dims")[:1], "shard": table.column("shard")[:1], "blob": pa.array([build(ids, _matrix(table.column("v"))[order])], pa.binary())})
 
-    index = classes.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), "rep", "v").groupBy("shard").applyInArrow(make, "shard long, blob binary")
-    index = staging.table(index, "index")
-    # one search for each distinct query vector
-    asked = rows.where(is_query)
-    queries = staging.table(asked.groupBy("v").agg(F.min("vec_id").alias("query")), "queries")
-    groups = max(1, -(-queries.count() // QUERY_ROWS))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
-    dealt = queries.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(groups)).alias("part"), every)
-    copies = index.select("shard", "blob", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"))
+    placed = salted_join(classes, sizes, ["dims"]).select("dims", F.pmod(F.xxhash64("rep"), F.col("shards")).alias("shard"), "rep", "v")
+    index = staging.table(placed.groupBy("dims", "shard").applyInArrow(make, "dims long, shard long, blob binary"), "index")
+
+    def until(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    dealt = salted_join(queries, sizes, ["dims"]).select("dims", "query", "v", F.pmod(F.xxhash64("query"), F.col("groups")).alias("part"), until("shards").alias("shard"))
+    copies = index.join(sizes, "dims").select("dims", "shard", "blob", until("groups").alias("part"))
 
     def find(graph: pa.Table, some: pa.Table) -> pa.Table:
         if not graph.num_rows or not some.num_rows:
             return pa.table({"query": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        row, ids, exact = search(graph.column("blob")[0].as_py(), _matrix(some.column("v"), dims), k + 1)
+        row, ids, exact = Graph(graph.column("blob")[0].as_py()).search(_matrix(some.column("v")), k + 1)
         return pa.table({"query": some.column("query").to_numpy()[row], "rep": ids, "score": exact})
 
-    found = copies.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(find, "query long, rep long, score double")
+    found = copies.groupBy("dims", "shard", "part").cogroup(dealt.groupBy("dims", "shard", "part")).applyInArrow(find, "query long, rep long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     merged = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
     # copies of found vectors: the k + 1 least ids of each
