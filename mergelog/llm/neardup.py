@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .arrow import ODD, column, mix, word_batches
 from .components import components
-from .skew import row_numbers, salted_join
+from .skew import needed, row_numbers, salted_join
 from .staging import Staging
 
 WORDS = 5
@@ -63,7 +63,7 @@ SMALL = 32
 SMALL_PARTNER = (SMALL - 1) * DENOMINATOR // NUMERATOR
 #: The measured deviation of equal registers is at most this, in binomial ones, from SMALL shingles on.
 SPREAD = 1.15
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 #: Fixed odd multipliers of a shingle's words.
 PLACE = (ODD * (2 * np.arange(1, WORDS + 1, dtype=np.uint64) + np.uint64(1))) | np.uint64(1)
 EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -187,13 +187,15 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _equal(x: str, y: str) -> F.Column:
-    """How many of two documents' registers are equal, as a native expression over their hex strings' arrays."""
-    return F.aggregate(F.zip_with(F.col(x), F.col(y), lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
+    """How many of two documents' registers are equal, as a native expression over their bytes."""
+    same = lambda i: F.when(F.substring(F.col(x), 2 * i + 1, F.lit(2)) == F.substring(F.col(y), 2 * i + 1, F.lit(2)), 1).otherwise(0)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), F.lit(0), lambda s, i: s + same(i))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, staging: Staging) -> DataFrame:
     """pairs (a, b) confirmed on full sets: b's text travels to a's, a hub's to as many tasks as its partners need."""
-    t = texts.select(F.col("row").alias("_d"), F.col("text").alias("_t"))
+    ids = staging.table(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
+    t = staging.table(needed(texts, "row", ids, "row").select(F.col("row").alias("_d"), F.col("text").alias("_t")), "wanted-texts")
     with_a = salted_join(pairs, t.withColumnRenamed("_d", "a"), ["a"]).withColumnRenamed("_t", "text_a")
     both = with_a.join(t, with_a.b == t._d).select("a", "b", "text_a", F.col("_t").alias("text_b"))
     return both.mapInArrow(_confirm, "a long, b long")
@@ -311,7 +313,8 @@ def _crossed(rest: DataFrame, classes: DataFrame, texts: DataFrame, staging: Sta
     dealt = staging.table(blocked.join(first.unionByName(second), ["cluster", "pool", "own", "block"]).select("unit", "side", "rep", "component"), "dealt")
     seen = salted_join(dealt, nodes.select("rep", "n_shingles", "regs", "small"), ["rep"])
     active = staging.table(seen.groupBy("unit").applyInArrow(_active, "unit long, side int, rep long, component long"), "active")
-    told = salted_join(active, texts.withColumnRenamed("row", "rep"), ["rep"])
+    ids = staging.table(active.select("rep").distinct(), "active-rows")
+    told = salted_join(active, needed(texts.withColumnRenamed("row", "rep"), "rep", ids, "rep"), ["rep"])
     return told.groupBy("unit").applyInArrow(_unit, "a long, b long")
 
 
@@ -333,19 +336,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = staging.table(rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "shared")
     members = staging.table(salted_join(rows, shared, ["key"]), "members")  # only bands of two or more
     staging.drop("bands", "shared")
-    reg = classes.select("rep", "n_shingles", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.conv(F.hex(F.substring(F.col("regs"), i * 2 + 1, F.lit(2))), 16, 10).cast("int")).alias("r"))
-    least = least_equal()
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        one = reg.select(F.col("rep").alias("a"), F.col("n_shingles").alias("_n"), F.col("r").alias("_p"))
-        two = reg.select(F.col("rep").alias("_y"), F.col("n_shingles").alias("_m"), F.col("r").alias("_q"))
-        near = DENOMINATOR * F.least("_n", "_m") >= NUMERATOR * F.greatest("_n", "_m")
-        some = near & ((F.least("_n", "_m") < SMALL) | (_equal("_p", "_q") >= least))
-        return salted_join(pairs, one, ["a"]).join(two, F.col("b") == F.col("_y")).where(some).select("a", "b")
-
     pairs = staging.table(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    stars = staging.table(likely(pairs), "stars")
-    links = staging.table(_verified(stars, texts), "links-1")
+    ids = staging.table(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "paired")
+    reg = staging.table(needed(classes.select("rep", "n_shingles", "regs"), "rep", ids, "rep"), "paired-sketches")
+    near = DENOMINATOR * F.least("_n", "_m") >= NUMERATOR * F.greatest("_n", "_m")
+    some = near & ((F.least("_n", "_m") < SMALL) | (_equal("_p", "_q") >= least_equal()))
+    with_a = salted_join(pairs, reg.select(F.col("rep").alias("a"), F.col("n_shingles").alias("_n"), F.col("regs").alias("_p")), ["a"])
+    both = with_a.join(reg.select(F.col("rep").alias("b"), F.col("n_shingles").alias("_m"), F.col("regs").alias("_q")), "b")
+    stars = staging.table(both.where(some).select("a", "b"), "stars")
+    staging.drop("pairs", "paired", "paired-sketches")
+    links = staging.table(_verified(stars, texts, staging), "links-1")
+    staging.drop("wanted", "wanted-texts", "stars")
     comp = staging.table(components(links, staging, "cc1"), "comp-1")
     # what the stars left: bands whose members lie in several components
     placed = members.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))

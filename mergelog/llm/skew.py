@@ -10,6 +10,8 @@ from .staging import Staging
 HOT_ROWS = 1000
 #: At most this many keys can be hot, whatever the input: what is broadcast is bounded by it.
 HOT_KEYS = 1_000_000
+#: Ids that may be broadcast: 64 MB of longs.
+BROADCAST_ROWS = 4_000_000
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -28,6 +30,12 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
+def needed(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """df's rows whose key is among ids, where these are few enough to be broadcast; else df, whose join then drops them."""
+    ids = ids.select(F.col(id_col).alias(key))
+    return df.join(F.broadcast(ids), key, "left_semi") if ids.count() <= BROADCAST_ROWS else df
+
+
 def row_numbers(df: DataFrame, staging: Staging, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, bool]:
     """(df with a number of its own for each row, its name, whether it isn't the id); numbers go up with (id, text), rows without an id last.
 
