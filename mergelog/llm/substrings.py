@@ -14,8 +14,9 @@ anchors occur in several documents; a second takes only the windows of those, by
 own hashes, and gives the least document of each, which verifies the repeat.
 
 Texts stay in chunks of a bucketed table and are never shuffled: exchanges carry packed
-sorted hashes, and answers are one bit each. Within a chunk an anchor or window counts
-once with its least document, so copies do not pile up at one key.
+sorted hashes, and answers are one bit each. The rounds run once, when chunks are made;
+a chunk keeps its anchors. Within a chunk an anchor or window counts once with its least
+document, so copies do not pile up at one key.
 
 Defined results: null, empty and short texts keep all their words. Documents of one id
 don't remove from each other; a null id is greater than all others. Windows are judged
@@ -42,7 +43,7 @@ WINDOW = 13
 ROUNDS = 2
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 4096
-BUCKET_BYTES = 24 << 20  # of text for each exchange bucket
+BUCKET_BYTES = 48 << 20  # of text for each exchange bucket
 TABLE_BYTES = 48 << 20  # of text for each bucket of the chunk table
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 PLACE = (ODD * (2 * np.arange(1, WINDOW + 1, dtype=np.uint64) + np.uint64(1))) | np.uint64(1)
@@ -141,38 +142,30 @@ def anchors(h: np.ndarray, docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """The words, windows and anchors of a chunk's texts, always made the same way."""
-
-    def __init__(self, ids: bytes, offsets: bytes, data: bytes):
-        self.ids = np.frombuffer(ids, "<i8")
-        self.offsets = np.frombuffer(offsets, "<i8")
-        self.raw = zstandard.decompress(data) if data else b""
-        buffer = np.frombuffer(self.raw, np.uint8)
-        starts, ends, self.heads = word_bounds(buffer, self.offsets)
-        h = word_hashes(buffer, starts, ends)
-        docs = np.repeat(np.arange(len(self.ids)), np.diff(self.heads))
-        self.whole = np.zeros(len(h), bool)
-        if len(h) >= WINDOW:
-            self.whole[: len(h) - WINDOW + 1] = docs[: len(h) - WINDOW + 1] == docs[WINDOW - 1 :]
-        self.docs = docs
-        self.windows = window_hashes(h)
-        self.anchors = anchors(h, docs, self.windows)
-
-    def anchor_entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted distinct anchors, the least id of each, whether several ids have it)."""
-        at = np.flatnonzero(self.whole)
-        a, d = self.anchors[at], self.docs[at]
+    """The words and windows of a chunk's texts, always made the same way."""
+
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, raw: bytes):
+        self.ids, self.offsets, self.raw = ids, offsets, raw
+        buffer = np.frombuffer(raw, np.uint8)
+        starts, ends, self.heads = word_bounds(buffer, offsets)
+        self.words = word_hashes(buffer, starts, ends)
+        self.docs = np.repeat(np.arange(len(ids)), np.diff(self.heads))
+        n = len(self.words) - WINDOW + 1
+        self.at = np.flatnonzero(self.docs[:n] == self.docs[WINDOW - 1 :]) if n > 0 else np.zeros(0, np.int64)  # where windows start
+        self.windows = window_hashes(self.words)
+
+    def anchor_entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct anchors, the least id of each, whether several ids have it, lengths of runs of windows of one anchor, each run's anchor by place)."""
+        a, d = anchors(self.words, self.docs, self.windows)[self.at], self.docs[self.at]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-        return _least(a[new], self.ids[d[new]])
+        head = np.flatnonzero(new)
+        keys, least, several = _least(a[head], self.ids[d[head]])
+        return keys, least, several, np.diff(np.append(head, len(a))), np.searchsorted(keys, a[head])
 
     def window_entries(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(positions of windows with a shared anchor, sorted distinct window hashes, the least id of each)."""
-        at = np.flatnonzero(self.whole)
-        if not len(shared) or not len(at):
-            return at[:0], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        a = self.anchors[at]
-        at = at[shared[np.minimum(np.searchsorted(shared, a), len(shared) - 1)] == a]
+        """(positions of windows whose anchor is shared, sorted distinct window hashes, the least id of each)."""
+        at = self.at[shared]
         keys, least, _ = _least(self.windows[at], self.ids[self.docs[at]])
         return at, keys, least
 
@@ -197,8 +190,20 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def _small(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unsmall(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+CHUNK = "chunk long, ids binary, offsets binary, data binary, keys binary, least binary, several binary, runs binary, anchor binary"
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, count = TaskContext.get().partitionId(), 0
+    names = [c.split()[0] for c in CHUNK.split(", ")]
     for batch in batches:
         ids = column(batch, "_id").fill_null(NO_ID).to_numpy()
         data, offsets = text_buffers(column(batch, "_text"))
@@ -207,8 +212,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, side="right")) - 1
             b = min(max(b, a + 1), n, a + CHUNK_ROWS)
             own = (offsets[a : b + 1] - offsets[a]).astype("<i8")
-            blob = zstandard.compress(data[offsets[a] : offsets[b]].tobytes(), 3)
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + count], pa.int64()), *(pa.array([x], pa.binary()) for x in (ids[a:b].astype("<i8").tobytes(), own.tobytes(), blob))], names=["chunk", "ids", "offsets", "data"])
+            raw = data[offsets[a] : offsets[b]].tobytes()
+            keys, least, several, runs, anchor = Chunk(ids[a:b], own, raw).anchor_entries()
+            row = (ids[a:b].astype("<i8").tobytes(), own.tobytes(), zstandard.compress(raw, 3), _pack(keys), _pack(least), np.packbits(several).tobytes(), _small(runs), _small(anchor))
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + count], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=names)
             a, count = b, count + 1
 
 
@@ -237,16 +244,22 @@ def _bits(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
-def _each(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+def _each(batches: Iterator[pa.RecordBatch], n: int, *more: str) -> Iterator[tuple]:
+    """(chunk, its texts, which windows have a shared anchor, more columns)."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            yield (column(batch, "chunk")[k].as_py(), Chunk(*(column(batch, c)[k].as_py() for c in ("ids", "offsets", "data"))), *(column(batch, c)[k].as_py() or [] for c in more))
+        for row in range(batch.num_rows):
+            chunk, ids, offsets, data, keys, runs, anchor, shared, *rest = (column(batch, c)[row].as_py() for c in ("chunk", "ids", "offsets", "data", "keys", "runs", "anchor", "shared", *more))
+            own = Chunk(np.frombuffer(ids, "<i8"), np.frombuffer(offsets, "<i8"), zstandard.decompress(data) if data else b"")
+            yield chunk, own, np.repeat(_chosen(_unpack(keys), shared or [], n)[_unsmall(anchor)], _unsmall(runs)), *(x or [] for x in rest)
 
 
 def _anchor_rows(n: int):
     def run(batches):
-        for chunk, own in _each(batches):
-            yield _rows(chunk, *own.anchor_entries(), n)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk, keys, least, several = (column(batch, c)[k].as_py() for c in ("chunk", "keys", "least", "several"))
+                keys = _unpack(keys)
+                yield _rows(chunk, keys, _unpack(least).view(np.int64), _bits(several, len(keys)), n)
 
     return run
 
@@ -281,9 +294,8 @@ def _chosen(keys: np.ndarray, answers: list[dict], n: int) -> np.ndarray:
 
 def _window_rows(n: int):
     def run(batches):
-        for chunk, own, shared in _each(batches, "shared"):
-            keys = own.anchor_entries()[0]
-            _, windows, least = own.window_entries(keys[_chosen(keys, shared, n)])
+        for chunk, own, shared in _each(batches, n):
+            _, windows, least = own.window_entries(shared)
             yield _rows(chunk, windows, least, None, n)
 
     return run
@@ -291,9 +303,8 @@ def _window_rows(n: int):
 
 def _kept_rows(n: int):
     def run(batches):
-        for _, own, shared, repeated in _each(batches, "shared", "repeated"):
-            keys = own.anchor_entries()[0]
-            at, windows, least = own.window_entries(keys[_chosen(keys, shared, n)])
+        for _, own, shared, repeated in _each(batches, n, "repeated"):
+            at, windows, least = own.window_entries(shared)
             gone = np.zeros(len(own.docs) + 1, np.int64)
             if len(at):
                 entry = np.searchsorted(windows, own.windows[at])
@@ -315,25 +326,26 @@ def _kept_rows(n: int):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept text]) for every row of df."""
     spark = df.sparkSession
     staging = Staging(spark, "substrings")
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n, buckets = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // TABLE_BYTES))
+    n, buckets = max(1, -(-total // bucket_bytes)), max(1, -(-total // TABLE_BYTES))
     name = f"chunks_{uuid.uuid4().hex}"
-    made = texts.mapInArrow(_chunks, "chunk long, ids binary, offsets binary, data binary")
-    made.write.bucketBy(buckets, "chunk").option("compression", "none").option("path", staging.path("chunks")).saveAsTable(name)
+    texts.mapInArrow(_chunks, CHUNK).write.bucketBy(buckets, "chunk").option("compression", "none").option("path", staging.path("chunks")).saveAsTable(name)
     chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay, and the plan knows them and their buckets
 
     def exchanged(entries: DataFrame, anchors_only: bool, label: str) -> DataFrame:
         answers = entries.groupBy("bucket").applyInArrow(lambda t: _answers(t, anchors_only), "chunk long, bucket long, bits binary")
         return staging.table(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(label)), label)
 
-    shared = exchanged(chunks.mapInArrow(_anchor_rows(n), ENTRIES), True, "shared")
-    with_shared = chunks.join(shared, "chunk", "left").select("chunk", "ids", "offsets", "data", "shared")
+    shared = exchanged(chunks.select("chunk", "keys", "least", "several").mapInArrow(_anchor_rows(n), ENTRIES), True, "shared")
+    some = ["chunk", "ids", "offsets", "data", "keys", "runs", "anchor", "shared"]
+    with_shared = chunks.join(shared, "chunk", "left").select(some)
     repeated = exchanged(with_shared.mapInArrow(_window_rows(n), ENTRIES), False, "repeated")
-    with_both = chunks.join(shared, "chunk", "left").join(repeated, "chunk", "left").select("chunk", "ids", "offsets", "data", "shared", "repeated")
+    with_both = chunks.join(shared, "chunk", "left").join(repeated, "chunk", "left").select(*some, "repeated")
     kept = with_both.mapInArrow(_kept_rows(n), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256", *([F.col("kept").cast("string").alias("kept")] if with_text else []))
