@@ -11,13 +11,21 @@ A window (13 words) is anchored at the least of the highest-level symbols that i
 settles; a window that settles none (in a long run) is its own anchor. So equal windows
 have equal anchors, and one anchor serves many windows. A first exchange tells which
 anchors occur in several documents; a second takes only the windows of those, by their
-own hashes, and gives the least document of each, which verifies the repeat.
+own hashes, and gives the least document of each, which verifies the repeat. There a
+window is told by 96 bits of two hashes of its words: of the 2.7e13 windows of 100 TB
+0.005 pairs of unlike ones are expected to agree.
 
 Texts stay in chunks of a bucketed table and are never shuffled: exchanges carry packed
 sorted hashes, and answers are one bit each. The rounds run once, when chunks are made;
 a chunk keeps its anchors. Within a chunk an anchor or window counts once with its least
 document, so copies do not pile up at one key.
 
+An exchange deals entries to n buckets of equal size. Up to DIRECT buckets a chunk writes
+a row for each. Beyond, it goes by two levels: a chunk writes a row for each of sqrt(n)
+ranges, and groups of about sqrt(n) chunks cut each range into sqrt(n) buckets; answers
+go back the same way. Bytes are in proportion to the input, rows a chunk to sqrt(n):
+1,450 at 100 TB, where rows of chunk and bucket would be two million.
+
 Defined results: null, empty and short texts keep all their words. Documents of one id
 don't remove from each other; a null id is greater than all others. Windows are judged
 on the input. An empty table gives an empty result. Only the named columns are read.
@@ -26,6 +34,7 @@ on the input. An empty table gives an empty result. Only the named columns are r
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -44,9 +53,11 @@ ROUNDS = 2
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 4096
 BUCKET_BYTES = 48 << 20  # of text for each exchange bucket
+DIRECT = 256  # most buckets of an exchange of one level
 TABLE_BYTES = 48 << 20  # of text for each bucket of the chunk table
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 PLACE = (ODD * (2 * np.arange(1, WINDOW + 1, dtype=np.uint64) + np.uint64(1))) | np.uint64(1)
+CHECK_PLACE = mix(PLACE) | np.uint64(1)
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -108,11 +119,11 @@ class Symbols:
         self.name, self.doc, self.first, self.last, self.low, self.high = (x[keep] for x in (name, self.doc, self.first, last, low, high))
 
 
-def window_hashes(h: np.ndarray) -> np.ndarray:
+def window_hashes(h: np.ndarray, place: np.ndarray = PLACE) -> np.ndarray:
     """The hash of the window that starts at each word; meaningless for the last few of a text."""
     out = np.zeros(len(h), np.uint64)
     for k in range(min(WINDOW, len(h))):
-        out[: len(h) - k] += h[k:] * PLACE[k]
+        out[: len(h) - k] += h[k:] * place[k]
     return mix(out)
 
 
@@ -160,22 +171,42 @@ class Chunk:
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
         head = np.flatnonzero(new)
-        keys, least, several = _least(a[head], self.ids[d[head]])
+        keys, _, least, several = _least(a[head], np.zeros(len(head), np.uint32), self.ids[d[head]])
         return keys, least, several, np.diff(np.append(head, len(a))), np.searchsorted(keys, a[head])
 
-    def window_entries(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(positions of windows whose anchor is shared, sorted distinct window hashes, the least id of each)."""
+    def window_entries(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(positions of windows whose anchor is shared, the entry of each, sorted distinct window hashes, their checks, the least id of each)."""
         at = self.at[shared]
-        keys, least, _ = _least(self.windows[at], self.ids[self.docs[at]])
-        return at, keys, least
-
-
-def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    tail = np.append(head[1:], len(keys)) - 1 if len(head) else head
-    return keys[head], ids[head], ids[head] != ids[tail]
+        checks = (window_hashes(self.words, CHECK_PLACE)[at] >> np.uint64(32)).astype(np.uint32)
+        order, group, head = _groups(self.windows[at], checks)
+        entry = np.empty(len(at), np.int64)
+        entry[order] = group
+        least = np.minimum.reduceat(self.ids[self.docs[at]][order], head) if len(at) else np.zeros(0, np.int64)
+        first = order[head]
+        return at, entry, self.windows[at][first], checks[first], least
+
+
+def _groups(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(an order that brings equal (key, check) together by key, the group of each in that order, where groups start)."""
+    order = np.argsort(keys, kind="stable")
+    k, c = keys[order], checks[order]
+    same = k[1:] == k[:-1]
+    if (same & (c[1:] != c[:-1])).any():  # unlike windows of one hash
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
+        same = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+    new = np.append(True, ~same)[: len(k)]
+    return order, np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _least(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct (key, check), sorted: key, check, least id, whether several ids have it."""
+    order, _, head = _groups(keys, checks)
+    if not len(order):
+        return keys, checks, ids, np.zeros(0, bool)
+    least, most = (f.reduceat(ids[order], head) for f in (np.minimum, np.maximum))
+    first = order[head]
+    return keys[first], checks[first], least, least != most
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -219,96 +250,136 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, count = b, count + 1
 
 
-def _buckets(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """(bucket, first, last) of sorted keys by equal ranges of their values."""
+def _buckets(keys: np.ndarray, n: int, fan: int = 1) -> list[tuple[int, int, int]]:
+    """(bucket, first, last) of sorted keys by equal ranges of their values; fan buckets of n in one."""
     if not len(keys):
         return []
-    width = (1 << 64) // n + 1
-    of = (keys // np.uint64(width)).astype(np.int64) if n > 1 else np.zeros(len(keys), np.int64)
+    width = ((1 << 64) // n + 1) * fan
+    of = (keys // np.uint64(width)).astype(np.int64) if n > fan else np.zeros(len(keys), np.int64)
     head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     return list(zip(of[head].tolist(), head.tolist(), [*head[1:].tolist(), len(keys)], strict=True))
 
 
-ENTRIES = "bucket long, chunk long, keys binary, ids binary, several binary"
+# entries of some chunks for one bucket: each chunk's are in order of key and follow the last chunk's
+ENTRIES = "bucket long, range long, team long, chunks binary, sizes binary, keys binary, ids binary, extra binary"
+ANSWERS = "bucket long, range long, team long, chunks binary, sizes binary, bits binary"
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema.split(", "))
+    return pa.table({c.split()[0]: pa.array(list(x), kinds[c.split()[1]]) for c, x in zip(schema.split(", "), columns, strict=True)})
+
+
+def _rows(chunk: int, keys: np.ndarray, ids: np.ndarray, extra: np.ndarray, n: int, fan: int) -> pa.RecordBatch:
+    """A chunk's entries, a row for each bucket; extra is flags (several ids) or checks."""
+    rows = []
+    for bucket, a, b in _buckets(keys, n, fan):
+        rows.append((bucket, bucket, chunk, np.int64(chunk).tobytes(), np.uint32(b - a).tobytes(), _pack(keys[a:b]), _pack(ids[a:b]), extra[a:b].tobytes()))
+    return _table(ENTRIES, rows).combine_chunks().to_batches()[0] if rows else pa.RecordBatch.from_pylist([], schema=_table(ENTRIES, []).schema)
 
 
-def _rows(chunk: int, keys: np.ndarray, ids: np.ndarray, several: np.ndarray | None, n: int) -> pa.RecordBatch:
-    parts = _buckets(keys, n)
-    cols = [pa.array([p[0] for p in parts], pa.int64()), pa.array([chunk] * len(parts), pa.int64())]
-    cols += [pa.array([_pack(x[a:b]) for _, a, b in parts], pa.binary()) for x in (keys, ids)]
-    cols.append(pa.array([np.packbits(several[a:b]).tobytes() if several is not None else b"" for _, a, b in parts], pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, names=["bucket", "chunk", "keys", "ids", "several"])
+def _parts(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+
+
+def _dealt(table: pa.Table, n: int, kind: str) -> pa.Table:
+    """The second level: the rows of a range and a team of chunks, as a row for each of the range's buckets."""
+    place, chunk = table.column("range")[0].as_py(), [int(x[0]) for x in _parts(table, "chunks", "<i8")]
+    team = table.column("team")[0].as_py()
+    into: dict[int, list[tuple]] = {}
+    columns = (map(_unpack, table.column("keys").to_pylist()), map(_unpack, table.column("ids").to_pylist()), _parts(table, "extra", kind))
+    for c, keys, ids, extra in zip(chunk, *columns, strict=True):
+        for bucket, a, b in _buckets(keys, n):
+            into.setdefault(bucket, []).append((c, keys[a:b], ids[a:b], extra[a:b]))
+    rows = []
+    for bucket, parts in into.items():
+        chunks, keys, ids, extra = zip(*parts, strict=True)
+        sizes = np.array([len(k) for k in keys], "<u4")
+        rows.append((bucket, place, team, np.array(chunks, "<i8").tobytes(), sizes.tobytes(), _pack(np.concatenate(keys)), _pack(np.concatenate(ids)), np.concatenate(extra).tobytes()))
+    return _table(ENTRIES, rows)
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """The way back: the answers of a range's buckets for a team of chunks, as one row for each chunk."""
+    table = table.sort_by("bucket")
+    bits: dict[int, list[np.ndarray]] = {}
+    for chunks, sizes, raw in zip(_parts(table, "chunks", "<i8"), _parts(table, "sizes", "<u4"), table.column("bits").to_pylist(), strict=True):
+        cut = np.cumsum(sizes.astype(np.int64))
+        for c, part in zip(chunks.tolist(), np.split(_bits(raw, int(cut[-1])), cut[:-1]), strict=True):
+            bits.setdefault(c, []).append(part)
+    place = table.column("range")[0].as_py()
+    rows = [(place, place, c, np.int64(c).tobytes(), np.uint32(sum(map(len, x))).tobytes(), np.packbits(np.concatenate(x)).tobytes()) for c, x in bits.items()]
+    return _table(ANSWERS, rows)
 
 
 def _bits(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
-def _each(batches: Iterator[pa.RecordBatch], n: int, *more: str) -> Iterator[tuple]:
+def _each(batches: Iterator[pa.RecordBatch], n: int, fan: int, *more: str) -> Iterator[tuple]:
     """(chunk, its texts, which windows have a shared anchor, more columns)."""
     for batch in batches:
         for row in range(batch.num_rows):
             chunk, ids, offsets, data, keys, runs, anchor, shared, *rest = (column(batch, c)[row].as_py() for c in ("chunk", "ids", "offsets", "data", "keys", "runs", "anchor", "shared", *more))
             own = Chunk(np.frombuffer(ids, "<i8"), np.frombuffer(offsets, "<i8"), zstandard.decompress(data) if data else b"")
-            yield chunk, own, np.repeat(_chosen(_unpack(keys), shared or [], n)[_unsmall(anchor)], _unsmall(runs)), *(x or [] for x in rest)
+            yield chunk, own, np.repeat(_chosen(_unpack(keys), shared or [], n, fan)[_unsmall(anchor)], _unsmall(runs)), *(x or [] for x in rest)
 
 
-def _anchor_rows(n: int):
+def _anchor_rows(n: int, fan: int):
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, keys, least, several = (column(batch, c)[k].as_py() for c in ("chunk", "keys", "least", "several"))
                 keys = _unpack(keys)
-                yield _rows(chunk, keys, _unpack(least).view(np.int64), _bits(several, len(keys)), n)
+                yield _rows(chunk, keys, _unpack(least).view(np.int64), _bits(several, len(keys)), n, fan)
 
     return run
 
 
 def _answers(table: pa.Table, anchors_only: bool) -> pa.Table:
-    """For each chunk of a bucket, a bit for each entry: the anchor occurs in several documents, or the window in a lesser one."""
+    """For each row of a bucket, a bit for each entry: the anchor occurs in several documents, or the window in a lesser one."""
     keys = [_unpack(x) for x in table.column("keys").to_pylist()]
-    ids = [_unpack(x).view(np.int64) for x in table.column("ids").to_pylist()]
-    flat, who = np.concatenate(keys), np.concatenate(ids)
-    order = np.argsort(flat, kind="stable")
-    head = np.append(True, flat[order][1:] != flat[order][:-1])
-    group = np.empty(len(flat), np.int64)
-    group[order] = np.cumsum(head) - 1
-    first = np.flatnonzero(head)
-    least = np.minimum.reduceat(who[order], first)
+    cut = np.cumsum([len(k) for k in keys])[:-1]
+    flat = np.concatenate(keys)
+    del keys
+    who = np.concatenate([_unpack(x).view(np.int64) for x in table.column("ids").to_pylist()])
+    extra = np.concatenate(_parts(table, "extra", "?" if anchors_only else "<u4"))
+    order, group, first = _groups(flat, np.zeros(len(flat), np.uint32) if anchors_only else extra)
+    del flat
+    sorted_ids = who[order]
+    least = np.minimum.reduceat(sorted_ids, first)
+    yes = np.empty(len(who), bool)
     if anchors_only:
-        several = np.concatenate([_bits(x, len(k)) for x, k in zip(table.column("several").to_pylist(), keys, strict=True)])
-        most = np.maximum.reduceat(who[order], first)
-        any_of = np.maximum.reduceat(several[order], first)
-        yes = ((most > least) | any_of)[group]
+        yes[order] = ((np.maximum.reduceat(sorted_ids, first) > least) | np.maximum.reduceat(extra[order], first))[group]
     else:
-        yes = least[group] < who
-    cut = np.cumsum([len(k) for k in keys])[:-1]
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in np.split(yes, cut)], pa.binary())})
+        yes[order] = least[group] < sorted_ids
+    bits = pa.array([np.packbits(x).tobytes() for x in np.split(yes, cut)], pa.binary())
+    return table.select(["bucket", "range", "team", "chunks", "sizes"]).append_column("bits", bits)
 
 
-def _chosen(keys: np.ndarray, answers: list[dict], n: int) -> np.ndarray:
+def _chosen(keys: np.ndarray, answers: list[dict], n: int, fan: int) -> np.ndarray:
     """The answers' bits in the order of the sorted keys."""
-    by = {a["bucket"]: a["bits"] for a in answers}
-    return np.concatenate([_bits(by[b], last - first) for b, first, last in _buckets(keys, n)] or [np.zeros(0, bool)])
+    by = {a["range"]: a["bits"] for a in answers}
+    return np.concatenate([_bits(by[b], last - first) for b, first, last in _buckets(keys, n, fan)] or [np.zeros(0, bool)])
 
 
-def _window_rows(n: int):
+def _window_rows(n: int, fan: int):
     def run(batches):
-        for chunk, own, shared in _each(batches, n):
-            _, windows, least = own.window_entries(shared)
-            yield _rows(chunk, windows, least, None, n)
+        for chunk, own, shared in _each(batches, n, fan):
+            _, _, windows, checks, least = own.window_entries(shared)
+            yield _rows(chunk, windows, least, checks, n, fan)
 
     return run
 
 
-def _kept_rows(n: int):
+def _kept_rows(n: int, fan: int):
     def run(batches):
-        for _, own, shared, repeated in _each(batches, n, "repeated"):
-            at, windows, least = own.window_entries(shared)
+        for _, own, shared, repeated in _each(batches, n, fan, "repeated"):
+            at, entry, windows, _, least = own.window_entries(shared)
             gone = np.zeros(len(own.docs) + 1, np.int64)
             if len(at):
-                entry = np.searchsorted(windows, own.windows[at])
-                hit = at[_chosen(windows, repeated, n)[entry] | (own.ids[own.docs[at]] > least[entry])]
+                hit = at[_chosen(windows, repeated, n, fan)[entry] | (own.ids[own.docs[at]] > least[entry])]
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, np.minimum(hit + WINDOW, len(gone) - 1), -1)
             removed = np.cumsum(gone[:-1]) > 0
@@ -333,19 +404,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n, buckets = max(1, -(-total // bucket_bytes)), max(1, -(-total // TABLE_BYTES))
+    fan = 1 if n <= DIRECT else math.isqrt(n - 1) + 1
+    n, teams = (n if fan == 1 else fan * fan), max(1, -(-total // (CHUNK_BYTES * fan)))
     name = f"chunks_{uuid.uuid4().hex}"
     texts.mapInArrow(_chunks, CHUNK).write.bucketBy(buckets, "chunk").option("compression", "none").option("path", staging.path("chunks")).saveAsTable(name)
     chunks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay, and the plan knows them and their buckets
 
     def exchanged(entries: DataFrame, anchors_only: bool, label: str) -> DataFrame:
-        answers = entries.groupBy("bucket").applyInArrow(lambda t: _answers(t, anchors_only), "chunk long, bucket long, bits binary")
-        return staging.table(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(label)), label)
-
-    shared = exchanged(chunks.select("chunk", "keys", "least", "several").mapInArrow(_anchor_rows(n), ENTRIES), True, "shared")
+        if fan > 1:
+            kind = "?" if anchors_only else "<u4"
+            teamed = entries.withColumn("team", F.pmod(F.xxhash64("team"), F.lit(teams)))
+            entries = teamed.groupBy("range", "team").applyInArrow(lambda t: _dealt(t, n, kind), ENTRIES)
+        answers = entries.groupBy("bucket").applyInArrow(lambda t: _answers(t, anchors_only), ANSWERS)
+        if fan > 1:
+            answers = answers.groupBy("range", "team").applyInArrow(_gathered, ANSWERS)
+        # now a row is of one chunk, which team names
+        return staging.table(answers.groupBy(F.col("team").alias("chunk")).agg(F.collect_list(F.struct("range", "bits")).alias(label)), label)
+
+    shared = exchanged(chunks.select("chunk", "keys", "least", "several").mapInArrow(_anchor_rows(n, fan), ENTRIES), True, "shared")
     some = ["chunk", "ids", "offsets", "data", "keys", "runs", "anchor", "shared"]
     with_shared = chunks.join(shared, "chunk", "left").select(some)
-    repeated = exchanged(with_shared.mapInArrow(_window_rows(n), ENTRIES), False, "repeated")
+    repeated = exchanged(with_shared.mapInArrow(_window_rows(n, fan), ENTRIES), False, "repeated")
     with_both = chunks.join(shared, "chunk", "left").join(repeated, "chunk", "left").select(*some, "repeated")
-    kept = with_both.mapInArrow(_kept_rows(n), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    kept = with_both.mapInArrow(_kept_rows(n, fan), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256", *([F.col("kept").cast("string").alias("kept")] if with_text else []))
