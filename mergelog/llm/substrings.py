@@ -24,7 +24,7 @@ An exchange deals entries to n buckets of equal size. Up to DIRECT buckets a chu
 a row for each. Beyond, it goes by two levels: a chunk writes a row for each of sqrt(n)
 ranges, and groups of about sqrt(n) chunks cut each range into sqrt(n) buckets; answers
 go back the same way. Bytes are in proportion to the input, rows a chunk to sqrt(n):
-1,450 at 100 TB, where rows of chunk and bucket would be two million.
+2,050 at 100 TB, where rows of chunk and bucket would be four million.
 
 Defined results: null, empty and short texts keep all their words. Documents of one id
 don't remove from each other; a null id is greater than all others. Windows are judged
@@ -52,7 +52,7 @@ WINDOW = 13
 ROUNDS = 2
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 4096
-BUCKET_BYTES = 48 << 20  # of text for each exchange bucket
+BUCKET_BYTES = 24 << 20  # of text for each exchange bucket
 DIRECT = 256  # most buckets of an exchange of one level
 TABLE_BYTES = 48 << 20  # of text for each bucket of the chunk table
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -196,7 +196,7 @@ def _groups(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarra
         k, c = keys[order], checks[order]
         same = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
     new = np.append(True, ~same)[: len(k)]
-    return order, np.cumsum(new) - 1, np.flatnonzero(new)
+    return order, np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new)
 
 
 def _least(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -348,8 +348,9 @@ def _answers(table: pa.Table, anchors_only: bool) -> pa.Table:
     order, group, first = _groups(flat, np.zeros(len(flat), np.uint32) if anchors_only else extra)
     del flat
     sorted_ids = who[order]
+    del who
     least = np.minimum.reduceat(sorted_ids, first)
-    yes = np.empty(len(who), bool)
+    yes = np.empty(len(order), bool)
     if anchors_only:
         yes[order] = ((np.maximum.reduceat(sorted_ids, first) > least) | np.maximum.reduceat(extra[order], first))[group]
     else:
