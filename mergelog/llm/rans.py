@@ -35,6 +35,7 @@ BLOCK_IDS = 131_072
 CHECKPOINT = 256
 TOGETHER = 32
 PART_ROWS = 8192
+PART_BYTES = 32 << 20  # of text: a partition of long texts has fewer rows
 BROADCAST_BYTES = 64 << 20
 MAGIC = b"rANS"
 HEADER = struct.Struct("<4sQIIIQII")
@@ -274,7 +275,8 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str | None = None, id_co
     spark = df.sparkSession
     staging = Staging(spark, "rans")
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    parts = max(1, -(-texts.select("_id").count() // PART_ROWS))
+    rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    parts = max(1, -(-rows // PART_ROWS), -(-size // PART_BYTES))
     ordered = texts.repartitionByRange(parts, "_id").sortWithinPartitions("_id", "_text").mapInArrow(_ordered(tokenizer or default_tokenizer_path(), vocabulary), BLOCKS)
     blocks = staging.table(ordered, "blocks")
     counts = np.zeros(vocabulary, np.int64)
