@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segments.
 
 A token's score is its log-odds between toxic and clean labelled texts with an informative
-Dirichlet prior (the background counts), kept only where it is significant; every other
-token costs a small constant. The linear-time scan for all maximal scoring segments then
+Dirichlet prior (the background counts), kept only where it is significant and near what a token
+of toxic texts alone would have, a bar that doesn't move with the number of labels; every
+other token costs a small constant. The linear-time scan for all maximal scoring segments then
 finds every toxic passage of a text. Under clean text the scores of segments follow an
 extreme-value law: with lambda from the clean token scores and K from clean segments,
 E = K * n * exp(-lambda * S) is how many segments of score S to expect by chance in n
@@ -10,7 +11,7 @@ tokens. A text's segments are added up as lambda * S - ln(K * n) where positive,
 one-dimensional logistic fit turns that and the best segment's value into a probability.
 
 The model is fitted on at most TRAIN_ROWS labelled rows (the least hashes of their ids),
-which are written once and read from there. Its three settings were chosen by `choose`:
+which are written once and read from there. Its settings were chosen by `choose`:
 cross-validation over training rows alone.
 
 Defined results: null and empty texts have no segment and get the least score. Without
@@ -34,8 +35,9 @@ from .staging import Staging
 
 TRAIN_ROWS = 20_000
 PRIOR = 0.2  # of the background counts
-LEAST_Z = 6.0
-LEAST_COUNT = 8
+LEAST_Z = 2.5
+LEAST_PART = 0.8  # of the log-odds that a token of toxic texts alone has
+LEAST_COUNT = 4
 COST = 0.05
 SIGN = np.zeros(256, bool)
 SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -177,7 +179,7 @@ def sample(docs: DataFrame, labels: DataFrame, trains: Column, train_rows: int =
     return Staging(docs.sparkSession, "toxicity").table(rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic")), "sample")
 
 
-def fit_sample(rows: DataFrame, prior: float = PRIOR, least_z: float = LEAST_Z, cost: float = COST) -> Model:
+def fit_sample(rows: DataFrame, prior: float = PRIOR, least_z: float = LEAST_Z, cost: float = COST, least_part: float = LEAST_PART) -> Model:
     """A model from rows (_text, _toxic); they are read three times."""
     counts = rows.mapInArrow(_count, "token long, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
     total, share = counts.agg(F.coalesce(F.sum("y1"), F.lit(0)), F.coalesce(F.sum("y0"), F.lit(0))), rows.agg(F.coalesce(F.avg(F.col("_toxic").cast("double")), F.lit(0.0)))
@@ -189,7 +191,8 @@ def fit_sample(rows: DataFrame, prior: float = PRIOR, least_z: float = LEAST_Z,
     odds = counts.where(F.col("y1") + F.col("y0") >= LEAST_COUNT).withColumn("y", F.col("y1") + F.col("y0")).withColumn("a", F.col("y") * prior)
     odds = odds.withColumn("d", F.log((F.col("y1") + F.col("a")) / (n1 + mass - F.col("y1") - F.col("a"))) - F.log((F.col("y0") + F.col("a")) / (n0 + mass - F.col("y0") - F.col("a"))))
     odds = odds.withColumn("z", F.col("d") / F.sqrt(1 / (F.col("y1") + F.col("a")) + 1 / (F.col("y0") + F.col("a"))))
-    kept = sorted((r[0] & 0xFFFFFFFFFFFFFFFF, r[1], r[2]) for r in odds.where(F.abs("z") >= least_z).select("token", "d", "y0").collect())
+    least = least_part * float(np.log((1 + prior) / prior * (n0 + mass) / (n1 + mass)))
+    kept = sorted((r[0] & 0xFFFFFFFFFFFFFFFF, r[1], r[2]) for r in odds.where((F.col("z") >= least_z) & (F.col("d") >= least)).select("token", "d", "y0").collect())
     keys = np.array([r[0] for r in kept], np.uint64)
     weights = np.array([r[1] for r in kept], float)
     seen = np.array([r[2] for r in kept], float) / n0
@@ -211,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, train_rows: int = TR
     return fit_sample(sample(docs, labels, trains, train_rows, id_col, text_col, label_col))
 
 
-def choose(rows: DataFrame, grid: list[tuple[float, float, float]], folds: int = 4) -> list[tuple[float, float, tuple[float, float, float]]]:
-    """(mean log loss, error rate, (prior, least z, cost)) of each setting, best first: cross-validation over the sample's own rows, by hashes of their ids."""
+def choose(rows: DataFrame, grid: list[tuple[float, ...]], folds: int = 4) -> list[tuple[float, float, tuple[float, ...]]]:
+    """(mean log loss, error rate, (prior, least z, cost, least part)) of each setting, best first: cross-validation over the sample's own rows, by hashes of their ids."""
     fold, out = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(folds)), []
     for setting in grid:
         loss = errors = n = 0.0
