@@ -34,18 +34,19 @@ from .staging import Staging
 from .tokens import default_tokenizer_path, document_slices
 
 CAPACITY = 2048
-GROUPS = 32
+GROUPS = 128
 RANK_ROWS = 4_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """[(how many of each size, in how many bins)]: a basic solution of the configuration programme, rounded down."""
+    """[(how many of each size, in how many bins)]: a basic solution of the configuration programme, rounded down. Sizes descend."""
     m = len(sizes)
     if not m:
         return []
-    need = np.array(counts, float)
+    need, rising = np.array(counts, float), np.array(sizes[::-1])
+    fits = np.searchsorted(rising, np.arange(capacity + 1), side="right")
     columns = np.zeros((m, m))
     np.fill_diagonal(columns, [capacity // s for s in sizes])
     for _ in range(60 * m):
@@ -53,11 +54,14 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
         use = inverse @ need
         worth = inverse.sum(axis=0)  # the duals of bins that all cost one
         best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for room in range(1, capacity + 1):
-            best[room], pick[room] = best[room - 1], -1
-            for k, s in enumerate(sizes):
-                if s <= room and best[room - s] + worth[k] > best[room] + 1e-12:
-                    best[room], pick[room] = best[room - s] + worth[k], k
+        each = worth[::-1].copy()
+        for room in range(int(rising[0]), capacity + 1):
+            gain = best[room - rising[: fits[room]]] + each[: fits[room]]
+            k = int(gain.argmax())
+            if gain[k] > best[room - 1] + 1e-12:
+                best[room], pick[room] = gain[k], m - 1 - k
+            else:
+                best[room] = best[room - 1]
         if best[capacity] <= 1 + 1e-7:
             break
         new, room = np.zeros(m), capacity
