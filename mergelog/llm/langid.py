@@ -4,7 +4,8 @@ A text's vector is the TF-IDF of its hashed byte bigrams and trigrams (letters l
 in A-Z, digits and ASCII signs folded to one space), with sublinear counts and unit
 length. Each language has several centroids, made by spherical k-means on a bounded sample of
 labelled rows: TRAIN_ROWS in all, as many of each language (the least hashes of their ids),
-so that rare languages are learned, too. A text gets the language of
+so that rare languages are learned, too (of more than TRAIN_ROWS languages the most
+frequent). A text gets the language of
 the centroid of largest cosine; it is rejected when that cosine is less than FAR of what a
 text of its length shows. That is one curve over all lengths, fitted to the training texts
 and to a piece of each (a beginning of 4 to 8192 bytes), so that tables of all sizes have
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import LOWER, column, slices, text_buffers
+from .skew import near_least
 from .staging import Staging
 
 DIMS_2, DIMS_3 = 1024, 3072
@@ -168,11 +170,13 @@ def fit(docs: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, centroids
     """A model from at most train_rows labelled rows where `trains` holds; what comes to the driver is a vector for each and one for its piece."""
     staging = Staging(docs.sparkSession, "langid")
     base = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), trains.alias("_t")).where(F.col("_t") & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_d"), "_d")  # planned with a limit in each map task
-    first = base.where(F.col("_d").isNotNull()).select("_d", "_lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= train_rows)
-    first = staging.table(first, "ids")
-    each = max(1, train_rows // max(1, first.select("_lang").distinct().count()))
-    ids = first.where(F.col("_r") <= each).select(F.col("_d").alias("_id"), F.col("_lang").alias("_l")).distinct()
+    known = staging.table(base.where(F.col("_d").isNotNull()).select("_d", "_lang"), "ids")
+    langs = staging.table(known.groupBy("_lang").agg(F.approx_count_distinct("_d", 0.02).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(train_rows), "languages")
+    each = max(1, train_rows // max(1, langs.count()))
+    near = known.join(F.broadcast(langs), "_lang").where(near_least("_d", each, F.col("_n"))).select("_d", "_lang").distinct()
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_d"), "_d")
+    first = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each)
+    ids = first.select(F.col("_d").alias("_id"), F.col("_lang").alias("_l"))
     rows = base.join(F.broadcast(ids), (F.col("_d") == F.col("_id")) & (F.col("_lang") == F.col("_l"))).groupBy("_d", "_lang").agg(F.min("_text").alias("_text"))
     got = rows.mapInArrow(_vectors, "lang string, grams long, logs binary").toArrow()
     own = np.array(got.column("lang").is_valid())

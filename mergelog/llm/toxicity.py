@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import LOWER, column, slices, text_buffers, word_bounds, word_hashes
+from .skew import near_least
 from .staging import Staging
 
 TRAIN_ROWS = 20_000
@@ -174,7 +175,8 @@ def _rate(scores: np.ndarray, share: np.ndarray) -> float:
 def sample(docs: DataFrame, labels: DataFrame, trains: Column, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(_id, _text, _toxic) of at most train_rows labelled rows where `trains` (over `_id`) holds, written."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_toxic")).where(F.col("_toxic").isNotNull() & F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    ids = known.where(trains).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
+    n = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_toxic")).where(F.col("_toxic").isNotNull() & trains).agg(F.approx_count_distinct("_id", 0.02)).first()[0]
+    ids = known.where(trains & near_least("_id", train_rows, F.lit(max(1, n)))).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_text")).join(F.broadcast(ids), F.col("_d") == F.col("_id"))
     return Staging(docs.sparkSession, "toxicity").table(rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic")), "sample")
 
