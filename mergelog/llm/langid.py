@@ -42,7 +42,7 @@ FAR = 0.37
 PIECES = 12
 #: Lengths in n-grams at which a curve has half of its square.
 TURNS = 2.0 ** np.arange(-2, 14, 0.25)
-MOST_ROWS = 512
+MOST_ROWS = 128
 STEPS = 20
 
 FOLD = LOWER.copy()
@@ -56,7 +56,7 @@ ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
 def gram_counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, counts of hashed n-grams, whether each text has a letter)."""
     data, offsets = text_buffers(texts)
-    for a, b in slices(offsets, 1 << 20):
+    for a, b in slices(offsets, 1 << 18):
         for first in range(a, b, MOST_ROWS):
             last = min(first + MOST_ROWS, b)
             at = offsets[first : last + 1] - offsets[first]
