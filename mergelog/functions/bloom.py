@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import fnv_halves
@@ -49,8 +49,21 @@ def positions(hashed: DataFrame) -> DataFrame:
 
 
 def set_bits(images: DataFrame, fpr: float, by: str = "seg") -> DataFrame:
-    """Distinct (seg, bit). The parameters are one row a segment and join by their own key."""
-    return positions(with_hashes(images.select(by, "key")).join(parameters(images, fpr, by), by)).select(by, "bit").distinct()
+    """Distinct (seg, bit). The parameters are one row a segment and join by their own key.
+
+    Keys go to their segment's task first: bits are several times as many, and are distinct there.
+    """
+    members = with_hashes(images.select(by, "key").repartition(by))
+    return positions(members.join(parameters(images, fpr, by), by)).select(by, "bit").distinct()
+
+
+def packed(bits: DataFrame, by: str = "seg") -> DataFrame:
+    """(seg, words): each filter as an array of longs, 64 bits each; words behind the last set bit are left out."""
+    lane = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))
+    words = bits.groupBy(by, F.shiftright("bit", 6).cast("int").alias("_w")).agg(F.bit_or(lane).alias("_v"))
+    gap = F.col("_w") - F.coalesce(F.lag("_w").over(Window.partitionBy(by).orderBy("_w")), F.lit(-1)) - 1
+    pieces = words.select(by, "_w", F.concat(F.array_repeat(F.lit(0).cast("long"), gap), F.array("_v")).alias("_p"))
+    return pieces.groupBy(by).agg(F.flatten(F.sort_array(F.collect_list(F.struct("_w", "_p")))["_p"]).alias("words"))
 
 
 def probe_count(fpr: float) -> int:
@@ -63,16 +76,27 @@ def every_pair(probes: DataFrame, params: DataFrame) -> DataFrame:
     return with_hashes(probes.select("key").distinct()).crossJoin(F.broadcast(params))
 
 
+def accepts(fpr: float) -> Column:
+    """Whether a row's filter (words, bits) lets its key (h1, h2) through: all its bits are set, or it has no filter. The first clear bit ends the test."""
+    out = F.lit(True)
+    for i in range(probe_count(fpr)):
+        bit = bit_at(F.col("h1"), F.col("h2"), F.lit(i).cast("long"), F.col("bits"))
+        word = F.coalesce(F.get("words", F.shiftright(bit, 6).cast("int")), F.lit(0).cast("long"))
+        out = out & (F.call_function("shiftright", word, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return F.col("words").isNull() | out
+
+
 def passing(pairs: DataFrame, bits: DataFrame, fpr: float, by: str = "seg") -> DataFrame:
-    """The (seg, key) of pairs (with h1, h2, bits) whose bits are all set, and all of segments that have no bits: no filter rejects nothing.
+    """The (seg, key) of given pairs (with h1, h2, bits) that a filter lets through, and all of segments that have no bits: no filter rejects nothing."""
+    return pairs.join(packed(bits, by), by, "left").where(accepts(fpr)).select(by, "key")
 
-    Bit after bit, as a lookup would: half of the absent keys leave at each step, so the
-    rows that are joined sum up to about twice the pairs, and nothing is grouped.
-    """
-    marks = bits.select(F.col(by).alias("_s"), F.col("bit").alias("_b"))
-    filtered = marks.select(F.col("_s").alias(by)).distinct()
-    free = pairs.join(filtered, by, "left_anti").select(by, "key")
-    left = pairs
-    for i in range(probe_count(fpr)):
-        left = left.join(marks, (F.col(by) == F.col("_s")) & (bit_at(F.col("h1"), F.col("h2"), F.lit(i).cast("long"), F.col("bits")) == F.col("_b")), "left_semi")
-    return left.select(by, "key").unionByName(free)
+
+def spread(keys: DataFrame) -> DataFrame:
+    """Keys over all tasks: few bytes that much is done with, which would else be gathered in a few."""
+    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+
+def matching(probes: DataFrame, params: DataFrame, bits: DataFrame, fpr: float, by: str = "seg") -> DataFrame:
+    """passing(every_pair(probes, params), bits) of all pairs: filters travel with the parameters, and a pair is judged where it is made, so none is sent."""
+    keys = with_hashes(spread(probes.select("key")).distinct())
+    return keys.join(params.join(packed(bits, by), by, "left"), accepts(fpr)).select(by, "key")

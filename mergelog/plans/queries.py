@@ -148,7 +148,7 @@ def bloom_false_positives(spark, d):
     images = event_images(spark, d)
     params = bloom.parameters(images, FPR)
     absent = probes(spark, d).where(F.col("key").startswith("absent"))
-    wrong = bloom.passing(bloom.every_pair(absent, params), bloom.set_bits(images, FPR), FPR).groupBy("seg").agg(F.count("*").alias("w"))
+    wrong = bloom.matching(absent, params, bloom.set_bits(images, FPR), FPR).groupBy("seg").agg(F.count("*").alias("w"))
     total = absent.agg(F.count_distinct("key").alias("probes"))
     return params.select("seg").crossJoin(F.broadcast(total)).join(wrong, "seg", "left").select("seg", "probes", F.coalesce("w", F.lit(0).cast("long")).alias("false_positives"))
 
