@@ -411,7 +411,7 @@ def bloom_missing_filter(spark, d):
     images = event_images(spark, d)
     absent = probes(spark, d).where(F.col("key").startswith("absent"))
     params = bloom.parameters(images, FPR)
-    passed = bloom.passing(bloom.every_pair(absent, params), bloom.set_bits(images.where("seg % 2 = 1"), FPR), FPR).groupBy("seg").agg(F.count("*").alias("p"))
+    passed = bloom.matching(absent, params, bloom.set_bits(images.where("seg % 2 = 1"), FPR), FPR).groupBy("seg").agg(F.count("*").alias("p"))
     return params.select("seg").join(passed, "seg", "left").select("seg", F.coalesce("p", F.lit(0).cast("long")).alias("passed"))
 
 
