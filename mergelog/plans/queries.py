@@ -323,7 +323,7 @@ def wal_file_round_trip(spark, d):
     rows = mut_events(spark, d).repartition(1).sortWithinPartitions("seq").select("tag", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
     rows.write.format("kvwal").mode("append").option("path", folder).save()
     path = f"{folder}/wal-00000.log"
-    wal.write_file(path, (wal.read_file(path) or b"") + b"\5\0\0")
+    wal.append_bytes(path, [b"\5\0\0"])
     wal.recover_file(path)
     back = spark.read.format("kvwal").option("path", path).load()
     return back.select("seq", F.col("tag").cast("int").alias("tag"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "start", "end")

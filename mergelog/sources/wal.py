@@ -7,9 +7,11 @@ pyarrow reaches (file, hdfs, s3, gs); a path without a scheme is local.
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from mergelog.functions.codec import frame_length, payload, payload_length
 SCHEMA = "seq long, tag tinyint, key binary, value binary, start long, end long"
 U32 = struct.Struct("<I")
 MOST = (1 << 32) - 1
+BUFFER = 1 << 20
 
 
 def frames(mutations: DataFrame) -> DataFrame:
@@ -81,10 +84,20 @@ def decode_body(body: bytes) -> tuple[int, bytes, bytes] | None:
 
 def read_frames(raw: bytes) -> Iterator[tuple[int, int, bytes, bytes, int, int]]:
     """(seq, tag, key, value, start, end) until the first short, damaged or malformed frame."""
+    return stream_frames(io.BytesIO(raw), len(raw))
+
+
+def stream_frames(f, total: int) -> Iterator[tuple[int, int, bytes, bytes, int, int]]:
+    """read_frames of an open file of `total` bytes: holds one frame at a time."""
     at, seq = 0, 0
-    while at + 8 <= len(raw):
-        size, crc = U32.unpack_from(raw, at)[0], U32.unpack_from(raw, at + 4)[0]
-        body = raw[at + 8 : at + 8 + size]
+    while at + 8 <= total:
+        head = f.read(8)
+        if len(head) < 8:
+            return
+        size, crc = U32.unpack_from(head, 0)[0], U32.unpack_from(head, 4)[0]
+        if size > total - at - 8:
+            return
+        body = f.read(size)
         found = decode_body(body) if len(body) == size and zlib.crc32(body) == crc else None
         if found is None:
             return
@@ -99,43 +112,62 @@ def file_at(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def read_file(path: str) -> bytes | None:
-    """A file's bytes, or None where there is none."""
+def file_frames(path: str) -> Iterator[tuple[int, int, bytes, bytes, int, int]]:
+    """The frames of a file as it is read; a missing log is empty."""
     where, name = file_at(path)
     try:
-        with where.open_input_stream(name) as f:
-            return f.read()
+        f = where.open_input_file(name)
     except FileNotFoundError:
-        return None
+        return
+    with f:
+        yield from stream_frames(io.BufferedReader(f, BUFFER), f.size())
 
 
-def write_file(path: str, raw: bytes) -> None:
-    """All or nothing: a temporary file that is moved to the name."""
+def file_pieces(path: str, most: int | None = None) -> Iterator[bytes]:
+    """A file's bytes (at most the first `most`) in pieces of BUFFER; none of a missing one."""
+    where, name = file_at(path)
+    try:
+        f = where.open_input_file(name)
+    except FileNotFoundError:
+        return
+    with f:
+        left = f.size() if most is None else most
+        while left > 0 and (piece := f.read(min(BUFFER, left))):
+            left -= len(piece)
+            yield piece
+
+
+def write_file(path: str, raw: bytes | Iterable[bytes]) -> None:
+    """All or nothing: a temporary file that is moved to the name. Pieces are written as they come."""
     where, name = file_at(path)
     folder = name.rpartition("/")[0]
     if folder:
         where.create_dir(folder, recursive=True)
-    with where.open_output_stream(name + ".tmp") as f:
-        f.write(raw)
+    with where.open_output_stream(name + ".tmp", buffer_size=BUFFER) as f:
+        for piece in (raw,) if isinstance(raw, bytes) else raw:
+            f.write(piece)
     where.move(name + ".tmp", name)
 
 
 def recover_file(path: str) -> tuple[int, int]:
     """Cuts a log behind its last good frame, so that what is appended can be read: (good frames, bytes cut). A missing log is empty."""
-    raw = read_file(path)
-    if raw is None:
-        return 0, 0
     good = keep = 0
-    for frame in read_frames(raw):
+    for frame in file_frames(path):
         good, keep = good + 1, frame[5]
-    if keep < len(raw):
-        write_file(path, raw[:keep])
-    return good, len(raw) - keep
+    where, name = file_at(path)
+    size = where.get_file_info(name).size or 0  # none of a missing file
+    if keep < size:
+        write_file(path, file_pieces(path, keep))
+    return good, size - keep
+
+
+def append_bytes(path: str, raw: Iterable[bytes]) -> None:
+    write_file(path, chain(file_pieces(path), raw))
 
 
 def append_file(path: str, mutations: list[tuple[int, bytes, bytes]]) -> None:
     """Frames behind what a log holds."""
-    write_file(path, (read_file(path) or b"") + b"".join(encode_mutation(*x) for x in mutations))
+    append_bytes(path, (encode_mutation(*x) for x in mutations))
 
 
 class KvWal(DataSource):
@@ -163,7 +195,7 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from read_frames(read_file(partition.value) or b"")  # a missing log is empty
+        yield from file_frames(partition.value)
 
 
 class _Writer(DataSourceWriter):
@@ -174,7 +206,7 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         place = {n: self.names.index(n) for n in ("tag", "key", "value")}
-        raw = b"".join(encode_mutation(row[place["tag"]], bytes(row[place["key"]]), bytes(row[place["value"]])) for row in iterator)
+        raw = (encode_mutation(row[place["tag"]], bytes(row[place["key"]]), bytes(row[place["value"]])) for row in iterator)
         write_file(f"{self.path.rstrip('/')}/wal-{TaskContext.get().partitionId():05d}.log", raw)
         return WriterCommitMessage()
 
