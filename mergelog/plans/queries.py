@@ -309,10 +309,10 @@ def fixed_integers(spark, d):
 
 def wal_decode(spark, d):
     """Payloads and what is read from them: every fifth is cut by a byte, every seventh has an unknown tag."""
-    rows = mut_events(spark, d)
     body = codec.payload(F.when(F.col("seq") % 7 == 3, 2).otherwise(F.col("tag")), F.col("key"), F.col("value"))
-    cut = F.when(F.col("seq") % 5 == 2, F.substring(body, F.lit(1), F.octet_length(body) - 1)).otherwise(body)
-    back = rows.select("seq", codec.decode_payload(cut).alias("p"))
+    rows = mut_events(spark, d).select("seq", body.alias("body"))
+    cut = F.when(F.col("seq") % 5 == 2, F.substring("body", F.lit(1), F.octet_length("body") - 1)).otherwise(F.col("body"))
+    back = codec.decode_payloads(rows.select("seq", cut.alias("cut")), "cut", "p")
     return back.select("seq", F.col("p.tag").cast("int").alias("tag"), F.col("p.key").cast("string").alias("key"), F.col("p.value").cast("string").alias("value"))
 
 
